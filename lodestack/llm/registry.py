@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, licenses, quality
+from . import bpe, decontaminate, language, licenses, quality
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,6 +18,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
 
+def held_out(doc_id: str = "doc_id") -> Column:
+    """Rows that no model may learn from."""
+    return F.crc32(F.col(doc_id).cast("string")) % 4 == 2
+
+
+def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = language.identify(docs, language.learn(docs, ~held_out()))
+    return found.withColumn("held_out", held_out()).select("doc_id", "held_out", "lang_pred", "score")
+
+
 def tokenizer_file(spark: SparkSession) -> str:
     """The byte-level vocabulary: the setting ``spark.lodestack.tokenizer``, else the file of the public tokenizers."""
     path = spark.conf.get("spark.lodestack.tokenizer", None)
@@ -41,5 +52,5 @@ def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op5_bpe_encode_decode, op6_license_scan, op9_benchmark_decontamination)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_language_id, op5_bpe_encode_decode, op6_license_scan, op9_benchmark_decontamination)}
 ORACLES: dict[str, str] = {}

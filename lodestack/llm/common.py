@@ -159,7 +159,7 @@ def map_text(df: DataFrame, keep: list[str], text: str, schema: str, make: Calla
 
     ``make`` runs once per task and returns the function that maps a string array to new columns of the same length.
     """
-    names = [x.split()[0] for x in schema.split(", ")]
+    names = [x.split()[0] for x in schema.split(", ")]  # ", " stands between columns only, not inside their types
     out = df.select(*[df[c].alias(c) for c in keep], df[text].cast("string").alias("__text"))
     types = ", ".join([f"`{c}` {out.schema[c].dataType.simpleString()}" for c in keep] + [schema])
 

@@ -7,13 +7,23 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, language, licenses, quality, similar, toxicity
+from . import bpe, chat, decontaminate, html, language, licenses, quality, similar, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op2_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations")
+    found = chat.format_chats(chat.transcripts(turns), chat.learn(turns))
+    return found.select("conv_id", "block", F.size("turns").cast("long").alias("n_turns"), "n_lines", chat.roles_of().alias("roles"), "rendered")
+
+
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(_table(spark, sf_dir, "documents"))
 
@@ -62,5 +72,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.similar(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_quality_rules, op4_language_id, op5_bpe_encode_decode, op6_license_scan, op8_toxicity, op9_benchmark_decontamination, op10_ngram_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_quality_rules, op4_language_id, op5_bpe_encode_decode, op6_license_scan, op8_toxicity, op9_benchmark_decontamination, op10_ngram_jaccard_join)}
 ORACLES: dict[str, str] = {}

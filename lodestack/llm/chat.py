@@ -22,8 +22,9 @@ ROLES = ("system", "user", "assistant")
 _NAMES = {"system": "system", "instruction": "system", "instructions": "system", "user": "user", "human": "user", "question": "user", "customer": "user", "q": "user", "prompter": "user", "assistant": "assistant", "ai": "assistant", "bot": "assistant", "answer": "assistant", "a": "assistant", "response": "assistant", "model": "assistant", "gpt": "assistant", "agent": "assistant"}
 _NAME = "|".join(sorted(_NAMES, key=len, reverse=True))
 _MARKER = re.compile(rf"\s*(?:<\|(?:im_start\|>)?\s*(?P<a>{_NAME})\s*(?:\|>)?|(?:\#{{1,4}}\s*|\*\*|\[)?(?P<b>{_NAME})(?:\*\*|\])?\s*:(?:\*\*)?)\s*", re.I)
-#: Chances of a marker on the first line of a turn: the right one, none, another.
-RIGHT, NONE, OTHER = 0.8, 0.18, 0.02
+#: Chances that the first line of a turn has no marker: transcripts keep all, most or few of them, and each is decoded under
+#: the habit that explains it best. A wrong marker has the chance ``OTHER``.
+HABITS, OTHER = (0.002, 0.2, 0.6), 0.01
 #: Consecutive turns that are decoded together when a conversation is read from a table of turns.
 BLOCK_TURNS = 256
 SCHEMA = "turns array<struct<role:string,text:string>>, rendered string, n_lines int"
@@ -68,13 +69,16 @@ class Model:
             more = sum(lines.get((role, False, s), 0) for s in range(SHAPES)) + 1
             self.stay.append(math.log(more / (begun + more)))
             self.leave.append(math.log(begun / (begun + more)))
-        self.mark = {}
-        for seen in (None, *ROLES):
-            row = []
-            for role in ROLES:
-                row.append(math.log(NONE if seen is None else RIGHT if seen == role else OTHER / 2))
-                row.append(math.log(0.995 if seen is None else 0.005 / 3))
-            self.mark[seen] = row
+        self.marks = []
+        for none in HABITS:
+            mark = {}
+            for seen in (None, *ROLES):
+                row = []
+                for role in ROLES:
+                    row.append(math.log(none if seen is None else 1 - none - OTHER if seen == role else OTHER / 2))
+                    row.append(math.log(0.995 if seen is None else 0.005 / 3))
+                mark[seen] = row
+            self.marks.append(mark)
 
     @staticmethod
     def _shares(counts: list[int], role: str | None = None) -> list[float]:
@@ -83,10 +87,11 @@ class Model:
 
     def decode(self, seen: list[tuple[str | None, int]]) -> list[int]:
         """The most likely states of the lines, each given as marker and shape; of equal paths, the one of lower states."""
-        if not seen:
-            return []
+        return max((self._viterbi(seen, marks) for marks in self.marks), key=lambda x: x[0])[1] if seen else []
+
+    def _viterbi(self, seen: list[tuple[str | None, int]], marks: dict[str | None, list[float]]) -> tuple[float, list[int]]:
         mark, what = seen[0]
-        best = [self.enter[s // 2] + self.mark[mark][s] + self.show[s][what] if s % 2 == 0 else -1e30 for s in range(6)]
+        best = [self.enter[s // 2] + marks[mark][s] + self.show[s][what] if s % 2 == 0 else -1e30 for s in range(6)]
         back = []
         for mark, what in seen[1:]:
             ends = [max((best[2 * r], best[2 * r + 1])) + self.leave[r] for r in range(3)]
@@ -99,7 +104,7 @@ class Model:
                 else:
                     come = s - 1 if best[s - 1] >= best[s] else s
                     value = best[come] + self.stay[r]
-                new.append(value + self.mark[mark][s] + self.show[s][what])
+                new.append(value + marks[mark][s] + self.show[s][what])
                 own.append(come)
             best = new
             back.append(own)
@@ -108,7 +113,7 @@ class Model:
         for own in reversed(back):
             state = own[state]
             path.append(state)
-        return path[::-1]
+        return best[path[0]], path[::-1]
 
     def parse(self, transcript: str | None) -> tuple[list[tuple[str, str]], int]:
         """Turns of a transcript, and its number of lines with text. Blank lines inside a turn stay in it."""

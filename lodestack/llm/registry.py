@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, decontaminate, html, language, licenses, quality, similar, toxicity
+from . import bpe, chat, decontaminate, html, language, licenses, passages, quality, similar, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,6 +57,10 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.learn(docs, _table(spark, sf_dir, "labels"), ~held_out())
@@ -72,5 +76,5 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return similar.similar(_table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_quality_rules, op4_language_id, op5_bpe_encode_decode, op6_license_scan, op8_toxicity, op9_benchmark_decontamination, op10_ngram_jaccard_join)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_html_extraction, op2_chat_formatting, op3_quality_rules, op4_language_id, op5_bpe_encode_decode, op6_license_scan, op7_substring_dedup, op8_toxicity, op9_benchmark_decontamination, op10_ngram_jaccard_join)}
 ORACLES: dict[str, str] = {}

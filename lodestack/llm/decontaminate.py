@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import HashTable
-from .common import ALNUM_WORD, map_text, rows_of, runs, span_hashes, stored, text_bytes
+from .common import ALNUM_WORD, distinct, map_text, rows_of, runs, span_hashes, stored, text_bytes
 
 #: Words in a test phrase.
 WINDOW = 10
@@ -219,7 +219,7 @@ def _finder(shared, window: int):
             hit = np.cumsum(edge)[:-1] > 0
             # items of each text
             at, owner = _expand(phrases.owner_first[which], phrases.owner_first[which + 1])
-            pairs = np.unique(row[place[owner]] * len(names) + phrases.owners[at]) if len(at) else np.zeros(0, np.int64)
+            pairs = distinct(row[place[owner]] * len(names) + phrases.owners[at]) if len(at) else np.zeros(0, np.int64)
             item_row, item = (pairs // len(names), pairs % len(names)) if len(pairs) else (pairs, pairs)
             labels = names[item]
             order = np.lexsort((labels.astype(str), item_row)) if len(pairs) else np.zeros(0, np.int64)

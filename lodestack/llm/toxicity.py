@@ -8,6 +8,7 @@ with NumPy, and only the few with a weight are made distinct.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, mix, row_slices, text_bytes
+from .common import distinct, map_text, mix, row_slices, text_bytes
 
 #: n-gram sizes, bits of their hash, and the sample that is learned from: rows of each label at most.
 SIZES = (3, 4, 5, 6)
@@ -70,24 +71,21 @@ class Model:
             at = np.flatnonzero(self.weights[gram] != 0)
             at = at[row[at] >= 0]
             found.append(row[at] * (1 << BITS) + gram[at])
-        keys = np.unique(np.concatenate(found))
+        keys = distinct(np.concatenate(found))
         total = np.bincount(keys >> BITS, weights=self.weights[keys & ((1 << BITS) - 1)], minlength=n)
         return 1 / (1 + np.exp(-np.clip(total + self.bias, -700, 700)))
 
 
-def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(text, n-gram) of all distinct n-grams of each text."""
-    column, rows, ids = pa.array(texts, pa.large_string()), [], []
-    for begin, end in row_slices(column):
+def features(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(text, n-gram) of all distinct n-grams of each text, some texts at a time."""
+    column = pa.array(texts, pa.large_string())
+    for begin, end in row_slices(column, most):
         data, offsets = text_bytes(column.slice(begin, end - begin))
-        keys = np.unique(np.concatenate([(row * (1 << BITS) + gram)[row >= 0] for gram, row in grams(data, offsets)]))
-        rows.append((keys >> BITS) + begin)
-        ids.append(keys & ((1 << BITS) - 1))
-    none = [np.zeros(0, np.int64)]
-    return np.concatenate(rows + none), np.concatenate(ids + none)
+        keys = distinct(np.concatenate([(row * (1 << BITS) + gram)[row >= 0] for gram, row in grams(data, offsets)]))
+        yield (keys >> BITS) + begin, keys & ((1 << BITS) - 1)
 
 
-def fit(texts: list[str], labels: np.ndarray, prior: float, penalty: float = 2e-4, rounds: int = 250, least_z: float = 3.0, most: int = 30_000) -> Model:
+def fit(texts: list[str], labels: np.ndarray, prior: float, penalty: float = 2e-4, rounds: int = 150, least_z: float = 3.0, most: int = 8_000) -> Model:
     """Weights from labelled texts; ``prior`` is the share of toxic ones among all labelled rows, which the intercept is
     set for. With one class only, or none, the score is the prior throughout."""
     labels = np.asarray(labels, float)
@@ -97,9 +95,11 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, penalty: float = 2e-
     base = float(np.log(prior / (1 - prior)))
     if not n_toxic or not n_other:
         return Model(weights.astype(np.float32), base)
-    row, gram = features(texts)
-    a = np.bincount(gram, weights=labels[row], minlength=1 << BITS)
-    b = np.bincount(gram, minlength=1 << BITS) - a
+    a, total = np.zeros(1 << BITS), np.zeros(1 << BITS)
+    for row, gram in features(texts):
+        a += np.bincount(gram, weights=labels[row], minlength=1 << BITS)
+        total += np.bincount(gram, minlength=1 << BITS)
+    b = total - a
     pooled = (a + b + 1) / (n_toxic + n_other + 2)
     z = np.abs(a / n_toxic - b / n_other) / np.sqrt(pooled * (1 - pooled) * (1 / n_toxic + 1 / n_other))
     chosen = np.flatnonzero((a + b >= 3) & (z >= least_z))
@@ -107,8 +107,12 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, penalty: float = 2e-
     ratio = np.log((a[chosen] + 1) / (n_toxic + 2)) - np.log((b[chosen] + 1) / (n_other + 2))
     number = np.full(1 << BITS, -1)
     number[chosen] = np.arange(len(chosen))
-    col = number[gram]
-    row, col = row[col >= 0], col[col >= 0]
+    rows, cols = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for row, gram in features(texts):  # a second time, so that only chosen n-grams are ever held
+        col = number[gram]
+        rows.append(row[col >= 0])
+        cols.append(col[col >= 0])
+    row, col = np.concatenate(rows), np.concatenate(cols)
     value = ratio[col]
     n = len(labels)
     # accelerated proximal gradient; the step comes from a power iteration for the largest curvature

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from .common import map_text, span_hashes, text_bytes
 
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
-FULL_SCHEMA = SCHEMA + ", ids array<int>, decoded string"
+EXTRAS = {"ids": "array<int>", "decoded": "string"}
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 _TAILS = ((1, "s"), (1, "t"), (1, "m"), (1, "d"), (2, "re"), (2, "ve"), (2, "ll"))
 
@@ -398,7 +398,7 @@ def codec(path: str) -> Codec:
     return _codecs[path]
 
 
-def _worker(path: str, full: bool):
+def _worker(path: str, extras: tuple[str, ...]):
     def make():
         c = codec(path)
 
@@ -411,14 +411,13 @@ def _worker(path: str, full: bool):
             n = len(offsets) - 1
             out = {
                 "n_tokens": np.diff(first).astype(np.int64),
-                "ids_sha256": [sha(small[4 * first[k] : 4 * first[k + 1]]).hexdigest() for k in range(n)],
-                "decoded_sha256": [sha(raw[places[k] : places[k + 1]]).hexdigest() for k in range(n)],
+                "ids_sha256": pa.array([sha(small[4 * first[k] : 4 * first[k + 1]]).hexdigest() for k in range(n)], pa.string()),
+                "decoded_sha256": pa.array([sha(raw[places[k] : places[k + 1]]).hexdigest() for k in range(n)], pa.string()),
             }
-            if full:
+            if "ids" in extras:
                 out["ids"] = pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(ids, pa.int32()))
+            if "decoded" in extras:
                 out["decoded"] = pa.array([raw[places[k] : places[k + 1]].decode("utf-8", "replace") for k in range(n)], pa.string())
-            else:
-                out["ids_sha256"], out["decoded_sha256"] = pa.array(out["ids_sha256"], pa.string()), pa.array(out["decoded_sha256"], pa.string())
             return out
 
         return work
@@ -426,12 +425,11 @@ def _worker(path: str, full: bool):
     return make
 
 
-def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", full: bool = True) -> DataFrame:
-    """One row per row of ``df``: id, number of tokens and digests; with ``full``, also ids and the decoded text.
+def encode_decode(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", extras: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """One row per row of ``df``: id, number of tokens and digests; as ``extras``, ids and the decoded text.
 
     Null is encoded as the empty text: no tokens, digests of nothing. Repeated rows stay, an empty table gives an empty
     result, other columns are ignored, whatever their names. ``path`` is the vocabulary file, on every executor.
     """
-    return map_text(df, [id_col], text_col, FULL_SCHEMA if full else SCHEMA, _worker(path, full))
-
-
+    schema = ", ".join([SCHEMA, *[f"{x} {EXTRAS[x]}" for x in extras]])
+    return map_text(df, [id_col], text_col, schema, _worker(path, extras))

@@ -50,7 +50,7 @@ def tokenizer_file(spark: SparkSession) -> str:
 
 
 def op5_bpe_encode_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_file(spark), full=False)
+    return bpe.encode_decode(_table(spark, sf_dir, "documents"), tokenizer_file(spark), extras=())
 
 
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

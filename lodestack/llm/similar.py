@@ -313,6 +313,25 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     sets: no links, and their own id as component. component_id is the least id that links lead to (a null id is never the
     least). An empty table gives an empty result; other columns are ignored, whatever their names.
     """
+    return _similar(df, id_col, text_col, percent).select(F.col("id").alias(id_col), "n_shingles", "n_similar", F.col("component").alias("component_id"))
+
+
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+    """``df`` with one document of each component: the one with the least id.
+
+    Documents without words all stay. Rows of one id are one document; of these, rows with equal texts are made one. Rows
+    without an id go if a document with an id is in their component; among themselves, only equal texts are made one.
+    """
+    found = stored(_similar(df, id_col, text_col, percent).where(F.col("n_shingles") > 0).select("id", "alt", "component"))
+    gone = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__gone"), F.col("alt").alias("__alt")).distinct()
+    again = found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("id", "alt").count().where(F.col("count") > 1).limit(1).count()
+    alt = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col).cast("string"))).otherwise(0)
+    rest = pick_rows(df, gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (alt == F.col("__alt")), "left_anti")
+    return rest.dropDuplicates([id_col, text_col]) if again else rest
+
+
+def _similar(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+    """id, alt (tells rows without an id apart), n_shingles, n_similar and component of every row."""
     text = df[text_col].cast("string")
     # rows without an id are told apart by their text
     docs = df.select(df[id_col].alias("id"), F.when(df[id_col].isNull(), F.xxhash64(text)).otherwise(0).alias("alt"), text.alias("text"))
@@ -338,4 +357,5 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     least = whole.groupBy("root").agg(F.min("least").alias("component"))
     by_class = classes.join(links, "set_key", "left").join(whole.select("set_key", "root").join(least, "root").select("set_key", "component"), "set_key", "left")
     by_class = stored(by_class.select("set_key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("component", "least").alias("component")))
-    return found.join(by_class, "set_key", "left").select(F.col("id").alias(id_col), "n_shingles", F.coalesce("n_similar", F.lit(0).cast("long")).alias("n_similar"), F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component")).alias("component_id"))
+    own = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component"))
+    return found.join(by_class, "set_key", "left").select("id", "alt", "n_shingles", F.coalesce("n_similar", F.lit(0).cast("long")).alias("n_similar"), own.alias("component"))

@@ -3,12 +3,13 @@
 A document's set holds its distinct 5-word shingles. Equal sets form one class, and classes are what is joined. Two sets of
 similarity 0.8 or more have sizes of one band or of neighbouring bands, and differ in at most k shingles, k fixed by the
 band. The shingle domain is hashed into n > k partitions; at least n - k of them hold the same part of both sets, so similar
-sets share the signature of at least one partition. A partition that is empty in both says nothing; n leaves room for these,
+sets share the signatures of so many partitions. A partition that is empty in both says nothing; n leaves room for these,
 and a set with more empty partitions than that is signed once more under another hash, so no pair is lost.
 
-Signatures only propose candidates: those that meet in a signature are linked to the least of them, never pairwise. Within
-a connected set of candidates, all pairs are decided exactly by counting common shingles, in blocks of bounded size, after
-turning every set into its difference from the majority set, which makes near copies of one text cheap.
+Signatures only propose candidates: sets that share fewer signatures than similar ones must are sieved out, and those that
+meet in one are linked to the least of them, never pairwise. Within a connected set of candidates, all pairs are decided
+exactly by counting common shingles, in blocks of bounded size, after turning every set into its difference from the
+majority set, which makes near copies of one text cheap.
 """
 
 from __future__ import annotations
@@ -70,33 +71,37 @@ def set_keys(sets: np.ndarray, first: np.ndarray) -> np.ndarray:
 
 
 @lru_cache(maxsize=4)
-def bands(most: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Least sizes of the size bands up to ``most``; for the group of each band and the next: partitions and room for
-    empty ones. A group covers pairs within its band and pairs of a set of its band with one of the next."""
-    low, parts, room = [], [], []
+def bands(most: int, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Least sizes of the size bands up to ``most``; for the group of each band and the next: partitions, room for empty
+    ones, and how many signatures a pair shares at least. A group covers pairs within its band and pairs of a set of its
+    band with one of the next."""
+    low, parts, room, need = [], [], [], []
     a = 1
     while a <= most or len(low) < 2:
         b = a * 100 // percent
         # sizes x <= b and y <= x * 100 / percent differ in at most (x + y) * (100 - percent) / (100 + percent) shingles
         k = b * (100 - percent) // percent
-        spare, n = 0, k + 1
+        share = 1 + k // 6
+        spare, n = 0, k + share
         for _ in range(4 if k else 0):
             empty = n * (1 - 1 / n) ** a
             spare = int(np.ceil(empty + 1.5 * empty**0.5))
-            n = k + 1 + spare
+            n = k + share + spare
         low.append(a)
         parts.append(n)
         room.append(spare)
+        need.append(share)
         a = b + 1
-    return np.array(low), np.array(parts), np.array(room)
+    return np.array(low), np.array(parts), np.array(room), np.array(need)
 
 
-def signatures(sets: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, set number) of all signatures of all sets."""
+def signatures(sets: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(signature, set number, turn) of all signatures of all sets, in order of sets. A turn is a group and a hash: turn
+    ``group * ROUNDS + hash``."""
     size = np.diff(first)
-    low, parts, room = bands(int(max(1, size.max(initial=1))), percent)
+    low, parts, room, _ = bands(int(max(1, size.max(initial=1))), percent)
     band = np.searchsorted(low, size, "right") - 1
-    out_sig, out_set = [], []
+    out_sig, out_set, out_turn = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
     for back in (0, 1):
         group = band - back
         todo = np.flatnonzero((size > 0) & (group >= 0))
@@ -115,16 +120,20 @@ def signatures(sets: np.ndarray, first: np.ndarray, percent: int = PERCENT) -> t
             b = np.bincount(part, weights=(g >> np.uint64(32)).astype(np.float64), minlength=base[-1]).astype(np.uint64)
             owner = np.repeat(np.arange(len(todo)), n)
             slot = np.arange(base[-1]) - base[owner]
+            own_turn = group[todo] * ROUNDS + turn
             empty = (a == 0) & (b == 0)
-            sig = mix(a + (b << np.uint64(32)) + mix(((group[todo][owner] * ROUNDS + turn).astype(np.uint64) << np.uint64(32)) + slot.astype(np.uint64)))
+            sig = mix(a + (b << np.uint64(32)) + mix((own_turn[owner].astype(np.uint64) << np.uint64(32)) + slot.astype(np.uint64)))
             more = np.bincount(owner[empty], minlength=len(todo)) > room[group[todo]]
             keep = ~empty
             if turn == ROUNDS - 1:
                 keep |= more[owner]
             out_sig.append(sig[keep])
             out_set.append(todo[owner[keep]])
+            out_turn.append(own_turn[owner[keep]])
             todo = todo[more]
-    return np.concatenate([np.zeros(0, np.uint64), *out_sig]), np.concatenate([np.zeros(0, np.int64), *out_set])
+    sig, owner, turn = np.concatenate(out_sig), np.concatenate(out_set), np.concatenate(out_turn)
+    order = np.argsort(owner, kind="stable")
+    return sig[order], owner[order], turn[order]
 
 
 def _describe():
@@ -136,16 +145,47 @@ def _describe():
     return work
 
 
-def _stars(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct signatures with their least node, and a forest that links nodes of one signature."""
-    order = np.lexsort((node, sig))
-    sig, node = sig[order], node[order]
+def _meetings(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each entry: whether it is the first one of its signature's least node, that node, and whether different nodes
+    have the signature."""
+    order = np.argsort(sig)
+    ranked, who = sig[order], node[order]
     fresh = np.ones(len(sig), dtype=bool)
-    fresh[1:] = sig[1:] != sig[:-1]
-    head = node[np.maximum.accumulate(np.where(fresh, np.arange(len(sig)), 0))]
-    other = node != head
-    a, b = forest(head[other], node[other])
-    return sig[fresh], node[fresh], a, b
+    fresh[1:] = ranked[1:] != ranked[:-1]
+    begin = np.flatnonzero(fresh)
+    count = np.diff(np.append(begin, len(sig)))
+    least = np.repeat(np.minimum.reduceat(who, begin), count) if len(sig) else who
+    most = np.repeat(np.maximum.reduceat(who, begin), count) if len(sig) else who
+    heads = np.flatnonzero(who == least)
+    group = np.repeat(np.arange(len(begin)), count)
+    heads = heads[np.concatenate(([True], group[heads][1:] != group[heads][:-1]))] if len(heads) else heads
+    head, lead, shared = np.zeros(len(sig), dtype=bool), np.empty_like(node), np.empty(len(sig), dtype=bool)
+    head[order[heads]] = True
+    lead[order], shared[order] = least, most != least
+    return head, lead, shared
+
+
+def _entries(sig: np.ndarray, node: np.ndarray, turn: np.ndarray, parts: int) -> pa.RecordBatch | None:
+    """Rows for the parts of the signature space: each signature with its least node only, and, with one of the rows, all
+    entries of signatures that several nodes have."""
+    if not len(sig):
+        return None
+    head, _, shared = _meetings(sig, node)
+    here = np.stack([sig[shared].view(np.int64), node[shared], turn[shared]])
+    sig, node, turn = sig[head], node[head], turn[head]
+    part = (((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
+    order = np.argsort(part, kind="stable")  # within a part, entries stay in order of nodes, which compresses well
+    sig, node, turn = sig[order], node[order], turn[order]
+    cut = np.searchsorted(part[order], np.arange(parts + 1))
+    own = [k for k in range(parts) if cut[k + 1] > cut[k]]
+    blob = lambda x, kind: pa.array([x[cut[k] : cut[k + 1]].astype(kind).tobytes() for k in own], pa.binary())
+    links = [b""] * len(own)
+    links[0] = here.astype("<i8").tobytes()
+    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), blob(sig, "<u8"), blob(node, "<i8"), blob(turn, "<u2"), pa.array(links, pa.binary())], names=["part", "sigs", "nodes", "turns", "links"])
+
+
+ENTRIES = "part int, sigs binary, nodes binary, turns binary, links binary"
+SHARED = "node long, turn int, n int, need int, sigs binary"
 
 
 def _sign(parts: int, percent: int):
@@ -157,40 +197,94 @@ def _sign(parts: int, percent: int):
                 key = set_keys(sets, first)
                 _, pick = np.unique(key, return_index=True)
                 pick = np.sort(pick[key[pick] != 0])
-                if not len(pick):
-                    continue
                 size = np.diff(first)[pick]
                 where = np.repeat(first[pick] - np.concatenate(([0], np.cumsum(size)))[:-1], size) + np.arange(int(size.sum()))
-                sig, owner = signatures(sets[where], np.concatenate(([0], np.cumsum(size))), percent)
-                sig, node, a, b = _stars(sig, key[pick][owner])
-                part = ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
-                cut = np.searchsorted(part, np.arange(parts + 1))
-                own = [k for k in range(parts) if cut[k + 1] > cut[k]]
-                links = [b""] * len(own)
-                links[0] = np.stack([a, b]).astype("<i8").tobytes()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(own, pa.int32()), pa.array([sig[cut[k] : cut[k + 1]].astype("<u8").tobytes() for k in own], pa.binary()), pa.array([node[cut[k] : cut[k + 1]].astype("<i8").tobytes() for k in own], pa.binary()), pa.array(links, pa.binary())],
-                    names=["part", "sigs", "nodes", "links"],
-                )
+                sig, owner, turn = signatures(sets[where], np.concatenate(([0], np.cumsum(size))), percent)
+                if (rows := _entries(sig, key[pick][owner], turn, parts)) is not None:
+                    yield rows
 
     return run
 
 
-def _meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    sigs, nodes, a, b = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+def _resign(parts: int):
+    """Entries again, of the signatures that nodes still share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sigs = [np.frombuffer(x, "<u8") for x in batch.column(2).to_pylist()]
+            n = [len(x) for x in sigs]
+            if rows := n and _entries(np.concatenate(sigs), np.repeat(batch.column(0).to_numpy(), n), np.repeat(batch.column(1).to_numpy().astype(np.int64), n), parts):
+                yield rows
+
+    return run
+
+
+def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Entries of a part, and entries that were found shared before."""
+    cols: list[list[np.ndarray]] = [[np.zeros(0, "<u8")], [np.zeros(0, "<i8")], [np.zeros(0, "<u2")]]
+    here = [np.zeros((3, 0), "<i8")]
     for batch in batches:
-        for s, n, links in zip(batch.column(1), batch.column(2), batch.column(3)):
-            sigs.append(np.frombuffer(s.as_py(), "<u8"))
-            nodes.append(np.frombuffer(n.as_py(), "<i8"))
-            both = np.frombuffer(links.as_py(), "<i8").reshape(2, -1)
-            a.append(both[0])
-            b.append(both[1])
-    _, _, x, y = _stars(np.concatenate(sigs), np.concatenate(nodes))
-    x, y = forest(np.concatenate([*a, x]), np.concatenate([*b, y]))
+        for row in zip(*(batch.column(k) for k in range(1, 5))):
+            for k, kind in enumerate(("<u8", "<i8", "<u2")):
+                cols[k].append(np.frombuffer(row[k].as_py(), kind))
+            here.append(np.frombuffer(row[3].as_py(), "<i8").reshape(3, -1))
+    return tuple(np.concatenate(c) for c in cols), np.concatenate(here, 1)
+
+
+def _meet(percent: int):
+    """Signatures that several nodes share, by node and turn."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (sig, node, turn), here = _gather(batches)
+        _, _, shared = _meetings(sig, node)
+        sig = np.concatenate([sig[shared], here[0].view(np.uint64)])
+        node, turn = np.concatenate([node[shared], here[1]]), np.concatenate([turn[shared].astype(np.int64), here[2]])
+        order = np.lexsort((sig, turn, node))
+        sig, node, turn = sig[order], node[order], turn[order]
+        new = np.ones(len(sig), dtype=bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
+        sig, node, turn = sig[new], node[new], turn[new]
+        cut = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (turn[1:] != turn[:-1]), [True]))) if len(sig) else np.zeros(1, np.int64)
+        need, size = [], 1
+        while len(need) <= int(turn.max(initial=0)) // ROUNDS:
+            need, size = bands(size, percent)[3], size * 2
+        raw = sig.astype("<u8").tobytes()
+        for k in range(0, len(cut) - 1, 50_000):
+            a, b = cut[k : k + 50_000], cut[k + 1 : k + 50_001]
+            a = a[: len(b)]
+            yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(turn[a], pa.int32()), pa.array(b - a, pa.int32()), pa.array(need[turn[a] // ROUNDS], pa.int32()), pa.array([raw[8 * x : 8 * y] for x, y in zip(a, b)], pa.binary())], names=["node", "turn", "n", "need", "sigs"])
+
+    return run
+
+
+def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A forest that links nodes of one signature."""
+    (sig, node, _), here = _gather(batches)
+    sig, node = np.concatenate([sig, here[0].view(np.uint64)]), np.concatenate([node, here[1]])
+    _, lead, _ = _meetings(sig, node)
+    x, y = forest(lead[node != lead], node[node != lead])
     for k in range(0, len(x), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]), pa.array(y[k : k + 100_000])], names=["a", "b"])
 
 
+def candidates(texts: DataFrame, parts: int, percent: int = PERCENT, peels: int = 2) -> DataFrame:
+    """Edges (a, b) of set keys that connect all pairs of similar sets of a one-column table of texts.
+
+    A similar pair shares at least ``need`` signatures of one turn, so a set that shares fewer than that with all others
+    together has no partner in this turn. Its signatures there are dropped, which may leave others with too few, so the
+    sieve is applied ``peels`` times. What is left is linked to the least set of each signature. Signatures of many sets are
+    made one in every task before they travel, so no part gathers more of one signature than there are tasks' slices.
+    """
+    shared = stored(texts.mapInArrow(_sign(parts, percent), ENTRIES).repartition(parts, "part").mapInArrow(_meet(percent), SHARED))
+    for peel in range(peels):
+        enough = shared.groupBy("node", "turn").agg(F.sum("n").alias("total"), F.max("need").alias("need")).where(F.col("total") >= F.col("need")).select("node", "turn")
+        left = shared.join(enough, ["node", "turn"], "left_semi").select("node", "turn", "sigs")
+        again = left.mapInArrow(_resign(parts), ENTRIES).repartition(parts, "part")
+        if peel < peels - 1:
+            shared = stored(again.mapInArrow(_meet(percent), SHARED))
+    return stored(again.mapInArrow(_link, "a long, b long"))
+
+
 def _part_count(df: DataFrame, each: int) -> int:
     """Shuffle partitions so that each holds about ``each`` bytes of the input, at least the session's number."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
@@ -338,8 +432,7 @@ def _similar(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
     found = stored(map_text(docs, ["id", "alt"], "text", "n_shingles long, set_key long", lambda: _describe()))
     classes = stored(found.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.min("alt").alias("alt"), F.first("n_shingles").alias("n")))
     parts = _part_count(df, 8 << 20)
-    signed = docs.select("text").mapInArrow(_sign(parts, percent), "part int, sigs binary, nodes binary, links binary")
-    near = stored(signed.repartition(parts, "part").mapInArrow(_meet, "a long, b long"))
+    near = candidates(docs.select("text"), parts, percent)
     # candidates: classes that signatures connect, with the blocks that their component is cut into
     candidate = components(near).select(F.col("node").alias("set_key"), "root").join(classes, "set_key")
     volume = candidate.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))

@@ -217,6 +217,8 @@ class _Parser:
 
 def parse(text: str) -> Node:
     """The tree of a full-text query."""
+    if text.startswith("*"):
+        raise QueryError(f"unknown special query: {text[1:]}")
     return _Parser(text).parse()
 
 

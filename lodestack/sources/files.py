@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Sequence
 from functools import reduce
 
@@ -31,11 +32,10 @@ def scan(spark: SparkSession, paths: Sequence[str], include: str | None = None,
     found = []
     for root in paths or ["."]:
         base = root.rstrip("/") or "/"
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(root)
-        import os
-
-        full = os.path.abspath(base) if "://" not in base else base
-        plain = F.regexp_replace("path", r"\A[a-z0-9]+:/+(?=[^/])", "/") if "://" not in base else F.col("path")
+        remote = "://" in base
+        full = base if remote else os.path.abspath(base)
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).load(full)
+        plain = F.col("path") if remote else F.regexp_replace("path", r"\A[a-z0-9]+:/+(?=[^/])", "/")
         shown = F.concat(F.lit(base), F.substring(plain, len(full) + 1, F.length(plain)))
         found.append(files.select(shown.alias("path"), "modificationTime", "length", "content"))
     files = reduce(DataFrame.unionByName, found)

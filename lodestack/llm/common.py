@@ -6,6 +6,7 @@ words, lines and hashes of thousands of documents are found with a few NumPy pas
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -15,7 +16,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised pass works on; a longer document is a pass of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
+#: Bytes of rows that one Arrow batch holds; the session's setting counts if it is lower.
+BATCH_BYTES = 16 << 20
 
 _rng = np.random.default_rng(20240229)
 _BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
@@ -55,6 +58,23 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of this session hold ``BATCH_BYTES`` at most, so that the memory of Python workers has a bound."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    have = spark.conf.get(name).rstrip("bB")
+    if not have.isdigit() or not 0 < int(have) <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+
+
+def release() -> None:
+    """Give memory that is free in this process back to the system, as workers live on from task to task."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 def row_slices(column: pa.Array, most: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
     """Row ranges of at most ``most`` bytes of text each; one row may exceed it."""
     n = len(column)
@@ -178,5 +198,8 @@ def map_text(df: DataFrame, keep: list[str], text: str, schema: str, make: Calla
             for begin, end in row_slices(column, most):
                 new = work(column.slice(begin, end - begin))
                 yield pa.RecordBatch.from_arrays([batch.column(i).slice(begin, end - begin) for i in range(len(keep))] + [x if isinstance(x, (pa.Array, pa.ChunkedArray)) else pa.array(x) for x in (new[c] for c in names)], names=[*keep, *names])
+            del batch, column, new
+            release()
 
+    bound_batches(df.sparkSession)
     return out.mapInArrow(run, types)

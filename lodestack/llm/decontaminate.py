@@ -24,7 +24,7 @@ WINDOW = 10
 #: Bytes of benchmark text that are collected and broadcast at once.
 BLOCK_BYTES = 16 << 20
 #: Bytes of text in one shard.
-SHARD_BYTES = 4 << 20
+SHARD_BYTES = 2 << 20
 #: Every so many text positions of a suffix array are kept.
 SAMPLE = 8
 SCHEMA = "n_words long, n_hit long, items array<string>, spans array<struct<begin:long,end:long>>"
@@ -145,12 +145,13 @@ class Phrases:
         vocabulary, number = np.unique(span_hashes(data, starts, ends), return_inverse=True)
         self.hashes = vocabulary
         self.symbols = len(vocabulary) + 1
-        self.names = names
+        self.names = sorted(set(names))
+        number_of = {name: k for k, name in enumerate(self.names)}
         seen: dict[tuple[int, ...], set[int]] = {}
         for item in range(len(names)):
             own = (number[first[item] : first[item + 1]] + 1).tolist()
             for k in range(max(1, len(own) - window + 1)) if own else ():
-                seen.setdefault(tuple(own[k : k + window]), set()).add(item)
+                seen.setdefault(tuple(own[k : k + window]), set()).add(number_of[names[item]])
         self.sizes = np.array([len(w) for w in seen], np.int64)
         self.windows = np.zeros((len(seen), window), np.int64)
         for k, w in enumerate(seen):

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, map_text, mix, row_slices, rows_of, runs, span_hashes, stored, text_bytes, window_hashes
+from .common import SPACE_WORD, bound_batches, map_text, mix, release, row_slices, rows_of, runs, span_hashes, stored, text_bytes, window_hashes
 from .graph import components, forest
 
 SHINGLE = 5
@@ -33,6 +33,8 @@ ROUNDS = 4
 BLOCK_SETS, BLOCK_SHINGLES = 1500, 1_500_000
 #: Rows that may be broadcast to pick out documents.
 BROADCAST_ROWS = 2_000_000
+#: Bytes of input for each part of the signature space: what one task sorts at once.
+PART_BYTES = 3 << 20
 _SALTS = [np.uint64(int(x)) for x in np.random.default_rng(7).integers(1, 2**63, 2 * ROUNDS)]
 
 
@@ -192,7 +194,7 @@ def _sign(parts: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(0)
-            for begin, end in row_slices(column, 4 << 20):
+            for begin, end in row_slices(column, 1 << 20):
                 sets, first = shingle_sets(*text_bytes(column.slice(begin, end - begin), lower=True))
                 key = set_keys(sets, first)
                 _, pick = np.unique(key, return_index=True)
@@ -202,6 +204,8 @@ def _sign(parts: int, percent: int):
                 sig, owner, turn = signatures(sets[where], np.concatenate(([0], np.cumsum(size))), percent)
                 if (rows := _entries(sig, key[pick][owner], turn, parts)) is not None:
                     yield rows
+            del batch, column
+            release()
 
     return run
 
@@ -215,6 +219,7 @@ def _resign(parts: int):
             n = [len(x) for x in sigs]
             if rows := n and _entries(np.concatenate(sigs), np.repeat(batch.column(0).to_numpy(), n), np.repeat(batch.column(1).to_numpy().astype(np.int64), n), parts):
                 yield rows
+            release()
 
     return run
 
@@ -253,6 +258,8 @@ def _meet(percent: int):
             a, b = cut[k : k + 50_000], cut[k + 1 : k + 50_001]
             a = a[: len(b)]
             yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(turn[a], pa.int32()), pa.array(b - a, pa.int32()), pa.array(need[turn[a] // ROUNDS], pa.int32()), pa.array([raw[8 * x : 8 * y] for x, y in zip(a, b)], pa.binary())], names=["node", "turn", "n", "need", "sigs"])
+        del sig, node, turn, here, shared, order, new, raw
+        release()
 
     return run
 
@@ -265,6 +272,8 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     x, y = forest(lead[node != lead], node[node != lead])
     for k in range(0, len(x), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]), pa.array(y[k : k + 100_000])], names=["a", "b"])
+    del sig, node, here, lead, x, y
+    release()
 
 
 def candidates(texts: DataFrame, parts: int, percent: int = PERCENT, peels: int = 2) -> DataFrame:
@@ -275,6 +284,7 @@ def candidates(texts: DataFrame, parts: int, percent: int = PERCENT, peels: int
     sieve is applied ``peels`` times. What is left is linked to the least set of each signature. Signatures of many sets are
     made one in every task before they travel, so no part gathers more of one signature than there are tasks' slices.
     """
+    bound_batches(texts.sparkSession)
     shared = stored(texts.mapInArrow(_sign(parts, percent), ENTRIES).repartition(parts, "part").mapInArrow(_meet(percent), SHARED))
     for peel in range(peels):
         enough = shared.groupBy("node", "turn").agg(F.sum("n").alias("total"), F.max("need").alias("need")).where(F.col("total") >= F.col("need")).select("node", "turn")
@@ -285,10 +295,13 @@ def candidates(texts: DataFrame, parts: int, percent: int = PERCENT, peels: int
     return stored(again.mapInArrow(_link, "a long, b long"))
 
 
-def _part_count(df: DataFrame, each: int) -> int:
-    """Shuffle partitions so that each holds about ``each`` bytes of the input, at least the session's number."""
+def _part_count(df: DataFrame, text_col: str, each: int) -> int:
+    """Shuffle partitions so that each holds about ``each`` bytes of the input, at least the session's number. A table whose
+    plan doesn't know its size, as one not read from files, is measured."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), min(-(-size // each), 100_000))
+    if size > 1 << 55:
+        size = df.agg(F.coalesce(F.sum(F.octet_length(df[text_col].cast("string"))), F.lit(0))).first()[0]
+    return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // each))
 
 
 def links_within(sets: np.ndarray, first: np.ndarray, cut: int | None = None, percent: int = PERCENT) -> np.ndarray:
@@ -381,6 +394,8 @@ def _verify(percent: int):
             out.append(decide(group, now[1] == now[2]))
         if out:
             yield emit(out)
+        del out, group
+        release()
 
     return run
 
@@ -431,7 +446,7 @@ def _similar(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFra
     docs = df.select(df[id_col].alias("id"), F.when(df[id_col].isNull(), F.xxhash64(text)).otherwise(0).alias("alt"), text.alias("text"))
     found = stored(map_text(docs, ["id", "alt"], "text", "n_shingles long, set_key long", lambda: _describe()))
     classes = stored(found.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.min("alt").alias("alt"), F.first("n_shingles").alias("n")))
-    parts = _part_count(df, 8 << 20)
+    parts = _part_count(df, text_col, PART_BYTES)
     near = candidates(docs.select("text"), parts, percent)
     # candidates: classes that signatures connect, with the blocks that their component is cut into
     candidate = components(near).select(F.col("node").alias("set_key"), "root").join(classes, "set_key")

@@ -87,7 +87,7 @@ def features(texts: list[str], most: int = 1 << 18) -> Iterator[tuple[np.ndarray
 
 def fit(texts: list[str], labels: np.ndarray, prior: float, penalty: float = 2e-4, rounds: int = 150, least_z: float = 3.0, most: int = 8_000) -> Model:
     """Weights from labelled texts; ``prior`` is the share of toxic ones among all labelled rows, which the intercept is
-    set for. With one class only, or none, the score is the prior throughout."""
+    set for. With one class only, or no telling n-gram, the score is the prior throughout."""
     labels = np.asarray(labels, float)
     weights = np.zeros(1 << BITS, np.float64)
     n_toxic, n_other = float(labels.sum()), float((1 - labels).sum())
@@ -113,6 +113,8 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, penalty: float = 2e-
         rows.append(row[col >= 0])
         cols.append(col[col >= 0])
     row, col = np.concatenate(rows), np.concatenate(cols)
+    if not len(col):
+        return Model(weights.astype(np.float32), base)
     value = ratio[col]
     n = len(labels)
     # accelerated proximal gradient; the step comes from a power iteration for the largest curvature

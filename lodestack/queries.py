@@ -221,29 +221,29 @@ def hash_features(spark, sf_dir):
 # projection, filters, structured queries
 
 
-def _rql(spark, sf_dir, source: str) -> DataFrame:
+def _asked(spark, sf_dir, source: str) -> DataFrame:
     return engine(spark, sf_dir).query(source).frame()
 
 
 @register(f"""WITH {DOC_SQL} SELECT id AS doc_id, path AS doc_path, mtime AS doc_mtime, hash AS doc_hash, tag AS doc_tag, source AS doc_source, meta AS doc_meta,
   NULL::VARCHAR AS chunk_id, NULL::VARCHAR AS chunk_doc_id, NULL::BIGINT AS chunk_offset, NULL::BIGINT AS chunk_tokens, NULL::VARCHAR AS chunk_text FROM doc""")
 def select_star_doc(spark, sf_dir):
-    return _rql(spark, sf_dir, "FROM doc LIMIT 1000000000 SELECT *;")
+    return _asked(spark, sf_dir, "FROM doc LIMIT 1000000000 SELECT *;")
 
 
 @register(f"""WITH {CHUNK_SQL} SELECT path AS doc_path, "offset"::BIGINT AS chunk_offset, tokens::BIGINT AS chunk_tokens FROM chunk""")
 def select_fields_chunk(spark, sf_dir):
-    return _rql(spark, sf_dir, "FROM chunk LIMIT 1000000000 SELECT doc.path, chunk.offset, tokens;")
+    return _asked(spark, sf_dir, "FROM chunk LIMIT 1000000000 SELECT doc.path, chunk.offset, tokens;")
 
 
 @register(f"WITH {DOC_SQL} SELECT path AS doc_path FROM doc")
 def select_unknown_ignored(spark, sf_dir):
-    return _rql(spark, sf_dir, "FROM doc LIMIT 1000000000 SELECT doc.path, doc.nothing, doc.text;")
+    return _asked(spark, sf_dir, "FROM doc LIMIT 1000000000 SELECT doc.path, doc.nothing, doc.text;")
 
 
 def _filtered(spark, sf_dir, source: str, table: str = "doc") -> DataFrame:
     fields = "doc.path" if table == "doc" else "doc.path, chunk.offset"
-    return _rql(spark, sf_dir, f"FROM {table} FILTER {source} LIMIT 1000000000 SELECT {fields};")
+    return _asked(spark, sf_dir, f"FROM {table} FILTER {source} LIMIT 1000000000 SELECT {fields};")
 
 
 @register(f"""WITH {CHUNK_SQL} SELECT path AS doc_path, "offset"::BIGINT AS chunk_offset FROM chunk WHERE "offset" >= 224 AND tokens < 200 AND tag <> 'fr'""")
@@ -438,12 +438,12 @@ def order_default_doc(spark, sf_dir):
 
 @register(f"WITH {DOC_SQL} SELECT path AS doc_path, tag AS doc_tag FROM doc ORDER BY tag DESC, path, id LIMIT 100")
 def order_by_field_desc_default(spark, sf_dir):
-    return _rql(spark, sf_dir, "FROM doc ORDER BY doc.tag LIMIT 100 SELECT doc.path, doc.tag")
+    return _asked(spark, sf_dir, "FROM doc ORDER BY doc.tag LIMIT 100 SELECT doc.path, doc.tag")
 
 
 @register(f"""WITH {CHUNK_SQL} SELECT path AS doc_path, "offset"::BIGINT AS chunk_offset FROM chunk ORDER BY path, "offset", id LIMIT 50 OFFSET 25""")
 def limit_offset(spark, sf_dir):
-    return _rql(spark, sf_dir, "FROM chunk LIMIT 50 OFFSET 25 SELECT doc.path, chunk.offset")
+    return _asked(spark, sf_dir, "FROM chunk LIMIT 50 OFFSET 25 SELECT doc.path, chunk.offset")
 
 
 # aggregates

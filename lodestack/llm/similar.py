@@ -33,8 +33,9 @@ ROUNDS = 4
 BLOCK_SETS, BLOCK_SHINGLES = 1500, 1_500_000
 #: Rows that may be broadcast to pick out documents.
 BROADCAST_ROWS = 2_000_000
-#: Bytes of input for each part of the signature space: what one task sorts at once.
-PART_BYTES = 3 << 20
+#: Bytes of input for each part of the signature space (what one task sorts at once), and of text in one slice that is signed.
+#: Less takes less memory in a worker, and more bytes in the shuffle.
+PART_BYTES, SLICE = 8 << 20, 4 << 20
 _SALTS = [np.uint64(int(x)) for x in np.random.default_rng(7).integers(1, 2**63, 2 * ROUNDS)]
 
 
@@ -190,11 +191,11 @@ ENTRIES = "part int, sigs binary, nodes binary, turns binary, links binary"
 SHARED = "node long, turn int, n int, need int, sigs binary"
 
 
-def _sign(parts: int, percent: int):
+def _sign(parts: int, percent: int, most: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column = batch.column(0)
-            for begin, end in row_slices(column, 1 << 20):
+            for begin, end in row_slices(column, most):
                 sets, first = shingle_sets(*text_bytes(column.slice(begin, end - begin), lower=True))
                 key = set_keys(sets, first)
                 _, pick = np.unique(key, return_index=True)
@@ -276,7 +277,7 @@ def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     release()
 
 
-def candidates(texts: DataFrame, parts: int, percent: int = PERCENT, peels: int = 2) -> DataFrame:
+def candidates(texts: DataFrame, parts: int, percent: int = PERCENT, peels: int = 2, slice_bytes: int = SLICE) -> DataFrame:
     """Edges (a, b) of set keys that connect all pairs of similar sets of a one-column table of texts.
 
     A similar pair shares at least ``need`` signatures of one turn, so a set that shares fewer than that with all others
@@ -285,7 +286,7 @@ def candidates(texts: DataFrame, parts: int, percent: int = PERCENT, peels: int
     made one in every task before they travel, so no part gathers more of one signature than there are tasks' slices.
     """
     bound_batches(texts.sparkSession)
-    shared = stored(texts.mapInArrow(_sign(parts, percent), ENTRIES).repartition(parts, "part").mapInArrow(_meet(percent), SHARED))
+    shared = stored(texts.mapInArrow(_sign(parts, percent, slice_bytes), ENTRIES).repartition(parts, "part").mapInArrow(_meet(percent), SHARED))
     for peel in range(peels):
         enough = shared.groupBy("node", "turn").agg(F.sum("n").alias("total"), F.max("need").alias("need")).where(F.col("total") >= F.col("need")).select("node", "turn")
         left = shared.join(enough, ["node", "turn"], "left_semi").select("node", "turn", "sigs")
@@ -425,13 +426,13 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
     return _similar(df, id_col, text_col, percent).select(F.col("id").alias(id_col), "n_shingles", "n_similar", F.col("component").alias("component_id"))
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, part_bytes: int = PART_BYTES, slice_bytes: int = SLICE) -> DataFrame:
     """``df`` with one document of each component: the one with the least id.
 
     Documents without words all stay. Rows of one id are one document; of these, rows with equal texts are made one. Rows
     without an id go if a document with an id is in their component; among themselves, only equal texts are made one.
     """
-    found = stored(_similar(df, id_col, text_col, percent).where(F.col("n_shingles") > 0).select("id", "alt", "component"))
+    found = stored(_similar(df, id_col, text_col, percent, part_bytes, slice_bytes).where(F.col("n_shingles") > 0).select("id", "alt", "component"))
     gone = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__gone"), F.col("alt").alias("__alt")).distinct()
     again = found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("id", "alt").count().where(F.col("count") > 1).limit(1).count()
     alt = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col).cast("string"))).otherwise(0)
@@ -439,15 +440,15 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     return rest.dropDuplicates([id_col, text_col]) if again else rest
 
 
-def _similar(df: DataFrame, id_col: str, text_col: str, percent: int) -> DataFrame:
+def _similar(df: DataFrame, id_col: str, text_col: str, percent: int, part_bytes: int = PART_BYTES, slice_bytes: int = SLICE) -> DataFrame:
     """id, alt (tells rows without an id apart), n_shingles, n_similar and component of every row."""
     text = df[text_col].cast("string")
     # rows without an id are told apart by their text
     docs = df.select(df[id_col].alias("id"), F.when(df[id_col].isNull(), F.xxhash64(text)).otherwise(0).alias("alt"), text.alias("text"))
     found = stored(map_text(docs, ["id", "alt"], "text", "n_shingles long, set_key long", lambda: _describe()))
     classes = stored(found.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.min("alt").alias("alt"), F.first("n_shingles").alias("n")))
-    parts = _part_count(df, text_col, PART_BYTES)
-    near = candidates(docs.select("text"), parts, percent)
+    parts = _part_count(df, text_col, part_bytes)
+    near = candidates(docs.select("text"), parts, percent, slice_bytes=slice_bytes)
     # candidates: classes that signatures connect, with the blocks that their component is cut into
     candidate = components(near).select(F.col("node").alias("set_key"), "root").join(classes, "set_key")
     volume = candidate.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))

@@ -226,6 +226,17 @@ def test_passages_odd(spark):
     assert passages.repeated_passages(t.limit(0)).count() == 0
 
 
+def test_every_copy_in_the_leader_of_a_slice_is_found(spark):
+    rng = random.Random(13)
+    passage = words_of(rng, 60, 10**6)
+    copies = [w for _ in range(3) for w in words_of(rng, 30, 10**6) + passage]
+    # each batch is a slice of its own, so document 2 leads its slice
+    t = spark.createDataFrame([(1, " ".join(passage)), (2, " ".join(copies))], "doc_id long, text string").repartition(2, "doc_id")
+    assert t.select(F.spark_partition_id()).distinct().count() == 2
+    got = covered(passages.repeated_passages(t).collect())
+    assert set(got) == {2} and all(set(range(at, at + 60)) <= got[2] for at in (30, 120, 210))
+
+
 # decontamination
 
 

@@ -237,6 +237,18 @@ def test_every_copy_in_the_leader_of_a_slice_is_found(spark):
     assert set(got) == {2} and all(set(range(at, at + 60)) <= got[2] for at in (30, 120, 210))
 
 
+def test_repetitive_passages_are_found(spark):
+    rng = random.Random(14)
+    runs = [["word"] * 290, ["one", "short", "line", "again"] * 30, words_of(rng, 19, 10**6) * 6]
+    fresh = lambda n: words_of(rng, n, 10**6)
+    docs = {1: [w for r in runs for w in fresh(20) + r], 2: [w for r in runs for w in fresh(33) + r], 3: fresh(10) + runs[0] + fresh(40) + runs[0] + fresh(7) + runs[0]}
+    t = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string").repartition(2)
+    got = covered(passages.repeated_passages(t).collect())
+    for k in (2, 3):
+        need = {i for i, w in enumerate(docs[k]) if any(w in r for r in runs)}
+        assert need <= got[k] and len(got[k] - need) <= 3
+
+
 # decontamination
 
 

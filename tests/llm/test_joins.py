@@ -249,6 +249,30 @@ def test_repetitive_passages_are_found(spark):
         assert need <= got[k] and len(got[k] - need) <= 3
 
 
+def test_passages_that_others_hold_in_parts_are_found(spark):
+    rng = random.Random(15)
+    fresh = lambda n: words_of(rng, n, 10**6)
+    passage = fresh(60)
+    docs = {1: fresh(25) + passage[:30] + fresh(9), 2: fresh(14) + passage[30:] + fresh(20), 3: fresh(31) + passage + fresh(8), 4: fresh(12) + passage + fresh(40), 5: passage[7:52] + fresh(3)}
+    t = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string").repartition(3)
+    rows = passages.repeated_passages(t).collect()
+    got = covered(rows)
+    assert set(got) == {4, 5} and set(range(12, 72)) <= got[4] and set(range(45)) <= got[5]
+    assert {(r["source_doc_id"], r["source_begin"] - r["begin_word"]) for r in rows} == {(3, 19), (3, 38)}
+
+
+def test_every_exact_repeat_is_decided(spark):
+    rng = random.Random(16)
+    docs = {k: [w for _ in range(rng.randint(0, 6)) for w in rng.choice([words_of(rng, rng.randint(1, 9), 3), ["a"] * rng.randint(1, 30), list("bcdefgh")])] for k in range(60)}
+    t = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string").repartition(4)
+    rows = passages.exact_passages(t.withColumnRenamed("doc_id", "doc"), 3, 9).collect()
+    seen, want = {}, set()
+    for k, words in docs.items():
+        want |= {(k, i) for i, w in enumerate(windows(words, 9)) if seen.setdefault(w, k) != k}
+    assert {(r["doc_id"], i) for r in rows for i in range(r["begin_word"], r["end_word"] - 8)} == want and len(want) > 100
+    assert all(docs[r["doc_id"]][r["begin_word"] : r["end_word"]] == docs[r["source_doc_id"]][r["source_begin"] : r["source_end"]] and r["source_doc_id"] < r["doc_id"] for r in rows)
+
+
 # decontamination
 
 

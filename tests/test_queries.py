@@ -29,3 +29,11 @@ def test_every_query_equals_its_sql(spark):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
+
+
+def test_ingest_scan_walks_the_whole_folder(spark, tmp_path):
+    (tmp_path / "deep/er").mkdir(parents=True)
+    for name in ("a.parquet", "deep/b.parquet", "deep/er/c.txt"):
+        (tmp_path / name).write_text(name)
+    rows = entry.queries()["ingest_scan"](spark, str(tmp_path)).collect()
+    assert {(r["path"], r["size"]) for r in rows} == {(f"{tmp_path}/{n}", len(n)) for n in ("a.parquet", "deep/b.parquet", "deep/er/c.txt")}

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from helpers import ALNUM, ODD, SPACED, component_of, linked, lower, odd_table, shingles, windows
 from lodestack.llm import decontaminate, graph, passages, registry, similar
 
@@ -273,6 +274,17 @@ def test_every_exact_repeat_is_decided(spark):
     assert all(docs[r["doc_id"]][r["begin_word"] : r["end_word"]] == docs[r["source_doc_id"]][r["source_begin"] : r["source_end"]] and r["source_doc_id"] < r["doc_id"] for r in rows)
 
 
+def test_passages_are_cut_from_rows_without_ids(spark):
+    rng = random.Random(17)
+    passage = words_of(rng, 60, 10**6)
+    own = [words_of(rng, 20 + k, 10**6) for k in range(4)]
+    t = spark.createDataFrame([(i, " ".join(w + passage)) for i, w in zip((None, None, None, 7), own)], "doc_id long, text string").repartition(2)
+    rows = corpus_pipeline.cut_repeated_passages(spark, t, SF).collect()
+    left = {r["text"].split()[0]: len(r["text"].split()) for r in rows}
+    assert [r["doc_id"] for r in rows].count(None) == 3
+    assert sorted(left[w[0]] - len(w) for w in own) == [0, 0, 0, 60] and left[own[3][0]] == len(own[3])
+
+
 # decontamination
 
 

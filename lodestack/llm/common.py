@@ -55,7 +55,17 @@ def stored(df: DataFrame) -> DataFrame:
     """``df`` written as Parquet in the shared folder and read again: its lineage ends there and executors may be lost."""
     path = work_dir(df.sparkSession)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._lodestack_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete ``stored`` tables that nothing reads any more: whatever was made of them has been stored itself."""
+    for table in tables:
+        session = table.sparkSession
+        path = session.sparkContext._jvm.org.apache.hadoop.fs.Path(table._lodestack_path)
+        path.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def bound_batches(spark: SparkSession) -> None:
@@ -162,6 +172,40 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     return mix(out)
 
 
+def pack(values: np.ndarray, cut: np.ndarray, width: int, planes: bool = False) -> pa.Array:
+    """Little-endian integers of ``width`` bytes, as one binary for each stretch between the places ``cut``. In ``planes``,
+    a binary holds the first bytes of all its integers, then the second ones, and so on, which compresses better."""
+    data = np.ascontiguousarray(values).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]
+    if planes:
+        out = np.empty(len(values) * width, np.uint8)
+        size = np.diff(cut)
+        at = np.arange(len(values)) + np.repeat(cut[:-1] * (width - 1), size)
+        step = np.repeat(size, size)
+        for j in range(width):
+            out[at + j * step] = data[:, j]
+    else:
+        out = np.ascontiguousarray(data).reshape(-1)
+    return pa.Array.from_buffers(pa.binary(), len(cut) - 1, [None, pa.py_buffer((cut * width).astype(np.int32)), pa.py_buffer(out)])
+
+
+def unpack(column: pa.Array, width: int, planes: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """What ``pack`` was given: unsigned integers, and the places at which those of each row begin."""
+    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64) if len(column) else np.zeros(1, np.int64)
+    raw = column.buffers()[2] if len(column) else None
+    data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None else np.zeros(0, np.uint8)
+    cut = (offsets - offsets[0]) // width
+    out = np.zeros((int(cut[-1]), 8), np.uint8)
+    if planes:
+        size = np.diff(cut)
+        at = np.arange(len(out)) + np.repeat(cut[:-1] * (width - 1), size)
+        step = np.repeat(size, size)
+        for j in range(width):
+            out[:, j] = data[at + j * step]
+    else:
+        out[:, :width] = data.reshape(-1, width)
+    return out.reshape(-1).view("<u8"), cut
+
+
 def distinct(x: np.ndarray) -> np.ndarray:
     """Sorted distinct values; sorting beats the hashing of ``np.unique`` on integers."""
     x = np.sort(x)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
@@ -20,28 +20,38 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     least, most = F.least(a, b), F.greatest(a, b)
     current = stored(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(least.alias("a"), most.alias("b")).distinct())
     roots: DataFrame | None = None
+    old: list[DataFrame] = []  # tables that the next round's no longer need
     for _ in range(rounds):
         ends = current.where(F.col("a") < F.col("b"))
         pointer = ends.select(F.col("b").alias("node"), F.col("a").alias("up")).union(ends.select(F.col("a").alias("node"), F.col("a").alias("up")))
         if roots is None:
             pointer = pointer.union(current.select(F.col("a").alias("node"), F.col("a").alias("up")))
-        pointer = stored(pointer.groupBy("node").agg(F.min("up").alias("up")))
+        table = stored(pointer.groupBy("node").agg(F.min("up").alias("up")))
+        pointer = table
         for _ in range(rounds):  # pointers go down in value, so following them ends; each step doubles what is followed
             up = pointer.select(F.col("node").alias("up"), F.col("up").alias("top"))
-            pointer = stored(pointer.join(up, "up", "left").select("node", F.coalesce("top", "up").alias("next"), "up"))
-            moved = pointer.where(F.col("next") != F.col("up")).limit(1).count()
-            pointer = pointer.select("node", F.col("next").alias("up"))
+            last, table = table, stored(pointer.join(up, "up", "left").select("node", F.coalesce("top", "up").alias("next"), "up"))
+            discard(last)
+            moved = table.where(F.col("next") != F.col("up")).limit(1).count()
+            pointer = table.select("node", F.col("next").alias("up"))
             if not moved:
                 break
         if roots is None:
-            roots = pointer.select("node", F.col("up").alias("root"))
+            roots, base = pointer.select("node", F.col("up").alias("root")), table
+            roots._lodestack_path = table._lodestack_path
         else:
             roots = stored(roots.join(pointer.select(F.col("node").alias("root"), "up"), "root", "left").select("node", F.coalesce("up", "root").alias("root")))
+            old += [base, table]
+            base = roots
         first = pointer.select(F.col("node").alias("a"), F.col("up").alias("ra"))
         second = pointer.select(F.col("node").alias("b"), F.col("up").alias("rb"))
         joined = ends.join(first, "a").join(second, "b").where(F.col("ra") != F.col("rb"))
+        old.append(current)
         current = stored(joined.select(F.least("ra", "rb").alias("a"), F.greatest("ra", "rb").alias("b")).distinct())
+        discard(*old)
+        old = []
         if not current.limit(1).count():
+            discard(current)
             return roots
     raise RuntimeError("the components did not settle")
 

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, bound_batches, map_text, mix, release, row_slices, rows_of, runs, span_hashes, stored, text_bytes, window_hashes
+from .common import SPACE_WORD, bound_batches, discard, map_text, mix, pack, release, row_slices, rows_of, runs, span_hashes, stored, text_bytes, unpack, window_hashes
 from .graph import components, forest
 
 SHINGLE = 5
@@ -168,27 +168,44 @@ def _meetings(sig: np.ndarray, node: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return head, lead, shared
 
 
-def _entries(sig: np.ndarray, node: np.ndarray, turn: np.ndarray, parts: int) -> pa.RecordBatch | None:
-    """Rows for the parts of the signature space: each signature with its least node only, and, with one of the rows, all
-    entries of signatures that several nodes have."""
-    if not len(sig):
-        return None
-    head, _, shared = _meetings(sig, node)
-    here = np.stack([sig[shared].view(np.int64), node[shared], turn[shared]])
-    sig, node, turn = sig[head], node[head], turn[head]
-    part = (((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)).astype(np.int64)
-    order = np.argsort(part, kind="stable")  # within a part, entries stay in order of nodes, which compresses well
-    sig, node, turn = sig[order], node[order], turn[order]
-    cut = np.searchsorted(part[order], np.arange(parts + 1))
-    own = [k for k in range(parts) if cut[k + 1] > cut[k]]
-    blob = lambda x, kind: pa.array([x[cut[k] : cut[k + 1]].astype(kind).tobytes() for k in own], pa.binary())
-    links = [b""] * len(own)
-    links[0] = here.astype("<i8").tobytes()
-    return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), blob(sig, "<u8"), blob(node, "<i8"), blob(turn, "<u2"), pa.array(links, pa.binary())], names=["part", "sigs", "nodes", "turns", "links"])
+def _codes(sig: np.ndarray, turn: np.ndarray, parts: int) -> np.ndarray:
+    """Signatures as they travel: the part of the signature space (24 bits), the turn (10 bits) and 30 bits of the hash.
+    Signatures of one code by chance only propose more candidates."""
+    part = ((sig >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
+    return (part << np.uint64(40)) | (turn.astype(np.uint64) << np.uint64(30)) | (sig & np.uint64((1 << 30) - 1))
+
+
+def _turns(code: np.ndarray) -> np.ndarray:
+    return ((code >> np.uint64(30)) & np.uint64(1023)).astype(np.int64)
 
 
-ENTRIES = "part int, sigs binary, nodes binary, turns binary, links binary"
-SHARED = "node long, turn int, n int, need int, sigs binary"
+def _entries(code: np.ndarray, node: np.ndarray) -> pa.RecordBatch | None:
+    """Rows for the parts of the signature space: each signature with its least node only. Entries of signatures that several
+    nodes have here go along in even shares with all the rows, so that no part gets more of them than others.
+
+    Entries of a part are in order of signatures, of which the differences are sent: few bytes each, however many parts."""
+    if not len(code):
+        return None
+    head, _, shared = _meetings(code, node)
+    link_code, link_node = code[shared], node[shared]
+    order = np.lexsort((link_code, link_node))
+    link_code, link_node = link_code[order], link_node[order]
+    order = np.flatnonzero(head)
+    order = order[np.argsort(code[order])]
+    code, node = code[order], node[order]
+    part = code >> np.uint64(40)
+    cut = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True])))
+    step = code.copy()
+    step[1:] -= code[:-1]
+    step[cut[:-1]] = code[cut[:-1]] & np.uint64((1 << 40) - 1)
+    share = np.linspace(0, len(link_code), len(cut)).astype(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(part[cut[:-1]].astype(np.int32)), pack(step, cut, 5, True), pack(node, cut, 6), pack(link_code, share, 8), pack(link_node, share, 6)], names=["part", "codes", "nodes", "link_codes", "link_nodes"])
+
+
+ENTRIES = "part int, codes binary, nodes binary, link_codes binary, link_nodes binary"
+SHARED = "node long, turn int, n int, need int, codes binary"
+#: Nodes are set keys of 48 bits; sets of one node by chance only propose more candidates.
+NODE_BITS = 48
 
 
 def _sign(parts: int, percent: int, most: int):
@@ -203,7 +220,7 @@ def _sign(parts: int, percent: int, most: int):
                 size = np.diff(first)[pick]
                 where = np.repeat(first[pick] - np.concatenate(([0], np.cumsum(size)))[:-1], size) + np.arange(int(size.sum()))
                 sig, owner, turn = signatures(sets[where], np.concatenate(([0], np.cumsum(size))), percent)
-                if (rows := _entries(sig, key[pick][owner], turn, parts)) is not None:
+                if (rows := _entries(_codes(sig, turn, parts), (key[pick] & ((1 << NODE_BITS) - 1))[owner])) is not None:
                     yield rows
             del batch, column
             release()
@@ -211,55 +228,51 @@ def _sign(parts: int, percent: int, most: int):
     return run
 
 
-def _resign(parts: int):
+def _resign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Entries again, of the signatures that nodes still share."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sigs = [np.frombuffer(x, "<u8") for x in batch.column(2).to_pylist()]
-            n = [len(x) for x in sigs]
-            if rows := n and _entries(np.concatenate(sigs), np.repeat(batch.column(0).to_numpy(), n), np.repeat(batch.column(1).to_numpy().astype(np.int64), n), parts):
-                yield rows
-            release()
-
-    return run
+    for batch in batches:
+        code, cut = unpack(batch.column(1), 8)
+        if (rows := _entries(code, np.repeat(batch.column(0).to_numpy(), np.diff(cut)))) is not None:
+            yield rows
+        release()
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
-    """Entries of a part, and entries that were found shared before."""
-    cols: list[list[np.ndarray]] = [[np.zeros(0, "<u8")], [np.zeros(0, "<i8")], [np.zeros(0, "<u2")]]
-    here = [np.zeros((3, 0), "<i8")]
+def _gather(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and nodes of a part, and those that were found shared before."""
+    out: list[list[np.ndarray]] = [[np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]]
     for batch in batches:
-        for row in zip(*(batch.column(k) for k in range(1, 5))):
-            for k, kind in enumerate(("<u8", "<i8", "<u2")):
-                cols[k].append(np.frombuffer(row[k].as_py(), kind))
-            here.append(np.frombuffer(row[3].as_py(), "<i8").reshape(3, -1))
-    return tuple(np.concatenate(c) for c in cols), np.concatenate(here, 1)
+        step, cut = unpack(batch.column(1), 5, True)
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(step)))
+        base = batch.column(0).to_numpy().astype(np.uint64) << np.uint64(40)
+        out[0].append(total[1:] + np.repeat(base - total[cut[:-1]], np.diff(cut)))
+        for k, width in ((1, 6), (2, 8), (3, 6)):
+            x, _ = unpack(batch.column(k + 1), width)
+            out[k].append(x.astype(out[k][0].dtype))
+    return tuple(np.concatenate(x) for x in out)
 
 
 def _meet(percent: int):
     """Signatures that several nodes share, by node and turn."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        (sig, node, turn), here = _gather(batches)
-        _, _, shared = _meetings(sig, node)
-        sig = np.concatenate([sig[shared], here[0].view(np.uint64)])
-        node, turn = np.concatenate([node[shared], here[1]]), np.concatenate([turn[shared].astype(np.int64), here[2]])
-        order = np.lexsort((sig, turn, node))
-        sig, node, turn = sig[order], node[order], turn[order]
-        new = np.ones(len(sig), dtype=bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node, turn = sig[new], node[new], turn[new]
-        cut = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (turn[1:] != turn[:-1]), [True]))) if len(sig) else np.zeros(1, np.int64)
+        code, node, link_code, link_node = _gather(batches)
+        _, _, shared = _meetings(code, node)
+        code, node = np.concatenate([code[shared], link_code]), np.concatenate([node[shared], link_node])
+        order = np.lexsort((code, _turns(code), node))
+        code, node = code[order], node[order]
+        new = np.ones(len(code), dtype=bool)
+        new[1:] = (code[1:] != code[:-1]) | (node[1:] != node[:-1])
+        code, node = code[new], node[new]
+        turn = _turns(code)
+        cut = np.flatnonzero(np.concatenate(([True], (node[1:] != node[:-1]) | (turn[1:] != turn[:-1]), [True]))) if len(code) else np.zeros(1, np.int64)
         need, size = [], 1
         while len(need) <= int(turn.max(initial=0)) // ROUNDS:
             need, size = bands(size, percent)[3], size * 2
-        raw = sig.astype("<u8").tobytes()
         for k in range(0, len(cut) - 1, 50_000):
-            a, b = cut[k : k + 50_000], cut[k + 1 : k + 50_001]
-            a = a[: len(b)]
-            yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(turn[a], pa.int32()), pa.array(b - a, pa.int32()), pa.array(need[turn[a] // ROUNDS], pa.int32()), pa.array([raw[8 * x : 8 * y] for x, y in zip(a, b)], pa.binary())], names=["node", "turn", "n", "need", "sigs"])
-        del sig, node, turn, here, shared, order, new, raw
+            own = cut[k : k + 50_001]
+            a = own[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(node[a], pa.int64()), pa.array(turn[a], pa.int32()), pa.array(np.diff(own), pa.int32()), pa.array(need[turn[a] // ROUNDS], pa.int32()), pack(code[own[0] : own[-1]], own - own[0], 8)], names=["node", "turn", "n", "need", "codes"])
+        del code, node, turn, link_code, link_node, shared, order, new
         release()
 
     return run
@@ -267,13 +280,13 @@ def _meet(percent: int):
 
 def _link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """A forest that links nodes of one signature."""
-    (sig, node, _), here = _gather(batches)
-    sig, node = np.concatenate([sig, here[0].view(np.uint64)]), np.concatenate([node, here[1]])
-    _, lead, _ = _meetings(sig, node)
+    code, node, link_code, link_node = _gather(batches)
+    code, node = np.concatenate([code, link_code]), np.concatenate([node, link_node])
+    _, lead, _ = _meetings(code, node)
     x, y = forest(lead[node != lead], node[node != lead])
     for k in range(0, len(x), 100_000):
         yield pa.RecordBatch.from_arrays([pa.array(x[k : k + 100_000]), pa.array(y[k : k + 100_000])], names=["a", "b"])
-    del sig, node, here, lead, x, y
+    del code, node, link_code, link_node, lead, x, y
     release()
 
 
@@ -285,15 +298,17 @@ def candidates(texts: DataFrame, parts: int, percent: int = PERCENT, peels: int
     sieve is applied ``peels`` times. What is left is linked to the least set of each signature. Signatures of many sets are
     made one in every task before they travel, so no part gathers more of one signature than there are tasks' slices.
     """
+    if parts >= 1 << 24:
+        raise ValueError("the signature space has 2**24 parts at most: make them larger")
     bound_batches(texts.sparkSession)
-    shared = stored(texts.mapInArrow(_sign(parts, percent, slice_bytes), ENTRIES).repartition(parts, "part").mapInArrow(_meet(percent), SHARED))
+    shared = stored(texts.mapInArrow(_sign(parts, percent, slice_bytes), ENTRIES).repartitionById(parts, "part").mapInArrow(_meet(percent), SHARED))
     for peel in range(peels):
         enough = shared.groupBy("node", "turn").agg(F.sum("n").alias("total"), F.max("need").alias("need")).where(F.col("total") >= F.col("need")).select("node", "turn")
-        left = shared.join(enough, ["node", "turn"], "left_semi").select("node", "turn", "sigs")
-        again = left.mapInArrow(_resign(parts), ENTRIES).repartition(parts, "part")
-        if peel < peels - 1:
-            shared = stored(again.mapInArrow(_meet(percent), SHARED))
-    return stored(again.mapInArrow(_link, "a long, b long"))
+        left = shared.join(enough, ["node", "turn"], "left_semi").select("node", "codes")
+        again = left.mapInArrow(_resign, ENTRIES).repartitionById(parts, "part")
+        last, shared = shared, stored(again.mapInArrow(_meet(percent), SHARED) if peel < peels - 1 else again.mapInArrow(_link, "a long, b long"))
+        discard(last)
+    return shared
 
 
 def _part_count(df: DataFrame, text_col: str, each: int) -> int:
@@ -349,14 +364,13 @@ def links_within(sets: np.ndarray, first: np.ndarray, cut: int | None = None, pe
 
 
 def _verify(percent: int):
-    def decide(group: list[tuple[int, int, int, bytes]], same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def decide(group: list[tuple[int, int, int, str]], same: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         group = list({g[0]: g for g in group}.values())
         group.sort(key=lambda g: (g[2], g[0]))
         key = np.array([g[0] for g in group], np.int64)
         copies = np.array([g[1] for g in group], np.int64)
-        sets = [np.frombuffer(g[3], "<u8") for g in group]
         cut = None if same else sum(g[2] == 0 for g in group)
-        linked = links_within(np.concatenate(sets), np.concatenate(([0], np.cumsum([len(s) for s in sets]))), cut, percent)
+        linked = links_within(*shingle_sets(*text_bytes(pa.array([g[3] for g in group], pa.large_string()), lower=True)), cut, percent)
         seen = np.zeros(len(key), dtype=bool)
         child, parent = [], []
         for r in np.argsort(key):
@@ -381,7 +395,7 @@ def _verify(percent: int):
         now, group, out, held = None, [], [], 0
         for batch in batches:
             cols = [batch.column(k).to_pylist() for k in range(7)]
-            for root, i, j, side, key, copies, blob in zip(*cols):
+            for root, i, j, side, key, copies, text in zip(*cols):
                 if (root, i, j) != now:
                     if len(group) > 1:
                         out.append(decide(group, now[1] == now[2]))
@@ -390,7 +404,7 @@ def _verify(percent: int):
                             yield emit(out)
                             out, held = [], 0
                     now, group = (root, i, j), []
-                group.append((key, copies, side, blob))
+                group.append((key, copies, side, text))
         if len(group) > 1:
             out.append(decide(group, now[1] == now[2]))
         if out:
@@ -401,15 +415,6 @@ def _verify(percent: int):
     return run
 
 
-def _set_blobs():
-    def work(column: pa.Array) -> dict:
-        sets, first = shingle_sets(*text_bytes(column, lower=True))
-        raw = sets.astype("<u8").tobytes()
-        return {"shingles": pa.array([raw[8 * first[k] : 8 * first[k + 1]] for k in range(len(first) - 1)], pa.binary())}
-
-    return work
-
-
 def pick_rows(df: DataFrame, picked: DataFrame, on: list[str] | Column, how: str = "inner", most: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` joined with picked rows; these are broadcast if they are at most ``most``, else both sides are shuffled."""
     few = picked.limit(most + 1).count() <= most
@@ -419,9 +424,10 @@ def pick_rows(df: DataFrame, picked: DataFrame, on: list[str] | Column, how: str
 def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
     """One row per row of ``df``: id, n_shingles, n_similar, component_id.
 
-    Every row is a document, so a repeated row is linked with its copies. Null texts, and texts without words, have empty
-    sets: no links, and their own id as component. component_id is the least id that links lead to (a null id is never the
-    least). An empty table gives an empty result; other columns are ignored, whatever their names.
+    Every row is a document, so a repeated row is linked with its copies, and rows of one id with different texts are as many
+    documents. Null texts, and texts without words, have empty sets: no links, and their own id as component. component_id is
+    the least id that links lead to (a null id is never the least). An empty table gives an empty result; other columns are
+    ignored, whatever their names.
     """
     return _similar(df, id_col, text_col, percent).select(F.col("id").alias(id_col), "n_shingles", "n_similar", F.col("component").alias("component_id"))
 
@@ -429,42 +435,50 @@ def similar(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", perce
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT, part_bytes: int = PART_BYTES, slice_bytes: int = SLICE) -> DataFrame:
     """``df`` with one document of each component: the one with the least id.
 
-    Documents without words all stay. Rows of one id are one document; of these, rows with equal texts are made one. Rows
-    without an id go if a document with an id is in their component; among themselves, only equal texts are made one.
+    Documents without words all stay. Every row is a document. Of a component's rows with its least id, those of one text
+    stay, made one. Rows without an id go if a document with an id is in their component; else those of one text are kept.
     """
-    found = stored(_similar(df, id_col, text_col, percent, part_bytes, slice_bytes).where(F.col("n_shingles") > 0).select("id", "alt", "component"))
-    gone = found.where(~F.col("id").eqNullSafe(F.col("component"))).select(F.col("id").alias("__gone"), F.col("alt").alias("__alt")).distinct()
-    again = found.where(F.col("id").eqNullSafe(F.col("component"))).groupBy("id", "alt").count().where(F.col("count") > 1).limit(1).count()
-    alt = F.when(F.col(id_col).isNull(), F.xxhash64(F.col(text_col).cast("string"))).otherwise(0)
-    rest = pick_rows(df, gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (alt == F.col("__alt")), "left_anti")
+    found = stored(_similar(df, id_col, text_col, percent, part_bytes, slice_bytes).where(F.col("n_shingles") > 0).select("id", "alt", "component", "component_alt"))
+    stays = F.col("id").eqNullSafe(F.col("component")) & (F.col("alt") == F.col("component_alt"))
+    gone = found.where(~stays).select(F.col("id").alias("__gone"), F.col("alt").alias("__alt")).distinct()
+    again = found.where(stays).groupBy("id", "alt").count().where(F.col("count") > 1).limit(1).count()
+    rest = pick_rows(df, gone, F.col(id_col).eqNullSafe(F.col("__gone")) & (_text_number(df[text_col]) == F.col("__alt")), "left_anti")
     return rest.dropDuplicates([id_col, text_col]) if again else rest
 
 
+def _text_number(text: Column) -> Column:
+    """Tells texts of one id apart."""
+    return F.xxhash64(text.cast("string"))
+
+
 def _similar(df: DataFrame, id_col: str, text_col: str, percent: int, part_bytes: int = PART_BYTES, slice_bytes: int = SLICE) -> DataFrame:
-    """id, alt (tells rows without an id apart), n_shingles, n_similar and component of every row."""
+    """id, alt (a number of the text), n_shingles, n_similar, component and component_alt (of the first row of a component)
+    of every row."""
     text = df[text_col].cast("string")
-    # rows without an id are told apart by their text
-    docs = df.select(df[id_col].alias("id"), F.when(df[id_col].isNull(), F.xxhash64(text)).otherwise(0).alias("alt"), text.alias("text"))
+    docs = df.select(df[id_col].alias("id"), _text_number(text).alias("alt"), text.alias("text"))
     found = stored(map_text(docs, ["id", "alt"], "text", "n_shingles long, set_key long", lambda: _describe()))
-    classes = stored(found.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.count("*").alias("copies"), F.min("id").alias("least"), F.min("alt").alias("alt"), F.first("n_shingles").alias("n")))
+    # the first row of a class: ids before none
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "alt")).alias("first")
+    classes = stored(found.where(F.col("set_key").isNotNull()).groupBy("set_key").agg(F.count("*").alias("copies"), first, F.first("n_shingles").alias("n")))
     parts = _part_count(df, text_col, part_bytes)
     near = candidates(docs.select("text"), parts, percent, slice_bytes=slice_bytes)
     # candidates: classes that signatures connect, with the blocks that their component is cut into
-    candidate = components(near).select(F.col("node").alias("set_key"), "root").join(classes, "set_key")
+    nodes = components(near)
+    candidate = nodes.join(classes.withColumn("node", F.col("set_key").bitwiseAND(F.lit((1 << NODE_BITS) - 1))), "node")
     volume = candidate.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / BLOCK_SETS, F.sum("n") / BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    candidate = stored(candidate.join(volume, "root"))
-    one = candidate.select(F.col("least").alias("one"), F.when(F.col("least").isNull(), F.col("alt")).otherwise(0).alias("one_alt"), "root", "set_key", "copies", "blocks")
-    texts = pick_rows(docs, one, F.col("id").eqNullSafe(F.col("one")) & (F.col("alt") == F.col("one_alt")))
-    sets = map_text(texts, ["root", "set_key", "copies", "blocks"], "text", "shingles binary", lambda: _set_blobs())
+    candidate = stored(candidate.join(volume, "root").select(F.col("first.id").alias("one"), F.col("first.alt").alias("one_alt"), "root", "set_key", "copies", "blocks"))
+    texts = pick_rows(docs, candidate, F.col("id").eqNullSafe(F.col("one")) & (F.col("alt") == F.col("one_alt")))
     block = F.pmod(F.xxhash64("set_key"), F.col("blocks").cast("long")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    spread = sets.withColumn("own", block).withColumn("other", other).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "set_key", "copies", "shingles")
+    spread = texts.withColumn("own", block).withColumn("other", other).select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "set_key", "copies", "text")
     decided = stored(spread.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j").mapInArrow(_verify(percent), "set_key long, links long, up long"))
     links = decided.groupBy("set_key").agg(F.sum("links").alias("links"))
     roots = components(decided.where(F.col("up").isNotNull()).select(F.col("set_key").alias("a"), F.col("up").alias("b")))
-    whole = roots.withColumnRenamed("node", "set_key").join(classes.select("set_key", "least"), "set_key")
-    least = whole.groupBy("root").agg(F.min("least").alias("component"))
+    whole = roots.withColumnRenamed("node", "set_key").join(classes.select("set_key", "first"), "set_key")
+    least = whole.groupBy("root").agg(F.min("first").alias("component"))
     by_class = classes.join(links, "set_key", "left").join(whole.select("set_key", "root").join(least, "root").select("set_key", "component"), "set_key", "left")
-    by_class = stored(by_class.select("set_key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("component", "least").alias("component")))
-    own = F.when(F.col("set_key").isNull(), F.col("id")).otherwise(F.col("component"))
-    return found.join(by_class, "set_key", "left").select("id", "alt", "n_shingles", F.coalesce("n_similar", F.lit(0).cast("long")).alias("n_similar"), own.alias("component"))
+    by_class = stored(by_class.select("set_key", (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_similar"), F.coalesce("component", "first").alias("component")))
+    discard(classes, near, nodes, candidate, decided, roots)
+    lone = F.col("set_key").isNull()
+    own, own_alt = F.when(lone, F.col("id")).otherwise(F.col("component.id")), F.when(lone, F.col("alt")).otherwise(F.col("component.alt"))
+    return found.join(by_class, "set_key", "left").select("id", "alt", "n_shingles", F.coalesce("n_similar", F.lit(0).cast("long")).alias("n_similar"), own.alias("component"), own_alt.alias("component_alt"))

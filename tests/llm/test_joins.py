@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from helpers import ALNUM, ODD, SPACED, component_of, linked, lower, odd_table, shingles, windows
-from lodestack.llm import decontaminate, graph, passages, registry, similar
+from lodestack.llm import common, decontaminate, graph, passages, registry, similar
 
 SF = "/root/testdata/sf0.001"
 
@@ -132,6 +132,42 @@ def test_rows_without_ids(spark):
     assert sorted(((r["doc_id"], r["text"]) for r in similar.deduplicate(t).collect()), key=str) == sorted([(None, "x y"), (5, "A b c d e f g")], key=str)
 
 
+def test_rows_of_one_id_with_different_texts(spark):
+    rng = random.Random(21)
+    a, b = words_of(rng, 40, 10**6), words_of(rng, 40, 10**6)
+    rows = [(5, a), (5, b), (6, [*a, "x"]), (7, [*b, "y"]), (8, words_of(rng, 40, 10**6)), (5, [*a, "z"])]
+    t = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string").repartition(3)
+    got = sorted((r["doc_id"], r["n_similar"], r["component_id"]) for r in similar.similar(t).collect())
+    assert got == [(5, 1, 5), (5, 2, 5), (5, 2, 5), (6, 2, 5), (7, 1, 5), (8, 0, 8)]
+    kept = sorted((r["doc_id"], r["text"].split()[0]) for r in similar.deduplicate(t).collect())
+    assert kept == sorted([(5, a[0]), (5, b[0]), (8, rows[4][1][0])])
+
+
+def test_packed_integers():
+    rng = np.random.default_rng(2)
+    for planes in (False, True):
+        for width in (5, 6, 8):
+            x = rng.integers(0, 1 << 8 * width - 1, 100).astype(np.uint64)
+            cut = np.array([0, 3, 3, 40, 100])
+            got, at = common.unpack(common.pack(x, cut, width, planes).slice(1, 3), width, planes)
+            assert np.array_equal(got, x[3:]) and np.array_equal(at, cut[1:] - 3)
+    assert len(common.unpack(common.pack(x[:0], np.array([0, 0]), 5, True), 5, True)[0]) == 0
+
+
+def test_entries_spread_evenly():
+    rng = np.random.default_rng(3)
+    hot = np.repeat(rng.integers(0, 2**64, 400, dtype=np.uint64), 60)  # signatures that sixty nodes of the slice have
+    sig, node = np.concatenate([hot, rng.integers(0, 2**64, 9000, dtype=np.uint64)]), np.concatenate([np.tile(np.arange(60), 400), rng.integers(0, 2**40, 9000)])
+    turn = np.full(len(sig), 7)
+    rows = similar._entries(similar._codes(sig, turn, 32), node)
+    size = np.array([sum(len(rows.column(k)[r].as_py()) for k in range(1, 5)) for r in range(rows.num_rows)])
+    assert rows.num_rows == 32 and size.max() <= 2 * np.median(size)
+    code, who, link_code, link_node = similar._gather([rows])
+    shared = np.isin(sig, hot)
+    assert len(link_code) == shared.sum() and set(zip(link_node.tolist(), link_code.tolist())) == set(zip(node[shared].tolist(), similar._codes(sig, turn, 32)[shared].tolist()))
+    assert sorted(code.tolist()) == sorted(set(similar._codes(sig, turn, 32).tolist())) and (similar._turns(code) == 7).all()
+
+
 # substring dedup
 
 

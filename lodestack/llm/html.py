@@ -1,34 +1,41 @@
 """Main text of web pages by two-pass block rules.
 
-A page is cut into blocks at block-level tags. The first pass decides what it can: blocks inside menus, footers, sidebars,
-forms, adverts, notices and comments are boilerplate, as are blocks made of links; long blocks rich in stop words are text;
-the rest is ambiguous. In the second pass, ambiguous blocks take the label of the nearest decided neighbour, first within
-their own section of the page.
+A page is cut into blocks at block-level tags. The first pass decides what it can: blocks made of links, copyright lines and
+blocks inside menus, footers, sidebars, forms, adverts, notices and comments are boilerplate; long blocks rich in stop words
+are text; the rest is ambiguous. An element that is named as the article bounds the text only if the text that this pass has
+found bears it out. In the second pass, ambiguous blocks take the label of the nearest decided neighbour, first within their
+own section of the page. Every step is linear in the page, whatever its markup.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .common import map_text
 
+# A tag ends at the first > outside quotes. Quotes count behind = only, and an unquoted < ends a tag that isn't closed, so no
+# stretch of a page is looked at again and again.
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    r"|<(?P<raw>script|style|noscript|template|svg|iframe|object|canvas|head|title|select|textarea|button|audio|video)\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\s*+>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>"
-    r"|</?[a-zA-Z][^>]*+>"
-    r"|<[!?][^>]*+>"
-    r"|</?[a-zA-Z][^<>]*\Z",
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][a-zA-Z0-9:-]*+)(?P<attrs>(?:[^<>=]++|=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|=)*+)>"
+    r"|</?[a-zA-Z][^<>]*+>"
+    r"|<[!?][^>]*+>",
     re.S | re.I,
 )
-_HEAD = re.compile(r"<head\b[^>]*>(?:(?!</head|<body\b).)*+", re.S | re.I)
-_ATTR = re.compile(r"([a-zA-Z:-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
+_TAIL = re.compile(r"</?[a-zA-Z!?][^<]*\Z", re.S)
+#: Elements whose inside isn't text of the page. Those of the second group hold markup, so one that is never closed is an
+#: element like others; one of the first group goes to the end of the page.
+_RAW = {tag: re.compile(rf"</{tag}\s*+>", re.I) for tag in "script style title textarea iframe noscript template svg object canvas select button audio video".split()}
+_TO_THE_END = frozenset("script style title textarea iframe".split())
+_ATTR = re.compile(r"(?<![a-zA-Z:-])([a-zA-Z:-]++)\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++))")
 _BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 _FRAME = frozenset("article aside blockquote body details dialog div dl fieldset figure footer form header html main menu nav ol section table ul td li p".split())
+_SECTION = _FRAME - frozenset("p li ul ol dl blockquote figure".split())
 _BAD_TAG = frozenset("nav footer aside menu dialog fieldset".split())
 _BAD_ROLE = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar alertdialog note".split())
 _BAD_WORD = frozenset(
@@ -48,14 +55,32 @@ STOP_WORDS = frozenset(
 )
 
 BAD, UNSURE, GOOD = -1, 0, 1
+_COPYRIGHT = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
+_ENDS_P = _HEADING | frozenset("div article section ul ol table footer nav aside header main form".split())
 SCHEMA = "text string, n_chars long, n_blocks int, n_kept int"
 
 
+class Block(NamedTuple):
+    """A stretch of text between block-level tags: characters in links, what the frame around it says, its innermost section,
+    whether it is a heading."""
+
+    text: str
+    linked: int
+    kind: int
+    number: int
+    sure: bool
+    section: int
+    heading: bool
+
+
 class _Frame:
-    __slots__ = ("tag", "kind", "number", "soft")
+    """An open element, and what it says of the text in it: kind, number of the element that says so, whether for sure, and
+    number of the innermost section."""
 
-    def __init__(self, tag: str, kind: int, number: int, soft: bool) -> None:
-        self.tag, self.kind, self.number, self.soft = tag, kind, number, soft
+    __slots__ = ("tag", "kind", "number", "sure", "inside", "section")
+
+    def __init__(self, tag: str, kind: int, number: int, sure: bool, inside: bool, section: int) -> None:
+        self.tag, self.kind, self.number, self.sure, self.inside, self.section = tag, kind, number, sure, inside, section
 
 
 def _kind(tag: str, attrs: str, inside: bool) -> tuple[int, bool]:
@@ -92,28 +117,21 @@ def _kind(tag: str, attrs: str, inside: bool) -> tuple[int, bool]:
     return kind, soft
 
 
-def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
-    """(text, characters in links, frame kind, frame number, frame is an article for sure) of every block with text."""
-    page = _HEAD.sub("<body>", page, count=1)
-    out: list[tuple[str, int, int, int, bool]] = []
-    stack = [_Frame("", UNSURE, 0, False)]
+def blocks(page: str) -> list[Block]:
+    """All blocks of a page with text, in order."""
+    out: list[Block] = []
+    stack = [_Frame("", UNSURE, 0, False, False, 0)]
+    depth: dict[str, int] = {}  # open elements by tag
+    unclosed: set[str] = set()
     parts: list[str] = []
-    linked, in_link, at, frames = 0, 0, 0, 0
+    linked, in_link, at, frames, heading = 0, 0, 0, 0, False
 
     def flush() -> None:
         nonlocal parts, linked
         text = " ".join("".join(parts).split())
         if text:
-            kind, number, sure = UNSURE, 0, False
-            for f in reversed(stack):
-                if f.kind != UNSURE:
-                    kind, number, sure = f.kind, f.number, not f.soft
-                    break
-            for f in stack:  # nothing inside firm boilerplate is text
-                if f.kind == BAD and not f.soft:
-                    kind, number, sure = BAD, f.number, True
-                    break
-            out.append((text, linked, kind, number, sure))
+            top = stack[-1]
+            out.append(Block(text, linked, top.kind, top.number, top.sure, top.section, heading))
         parts, linked = [], 0
 
     def add(piece: str) -> None:
@@ -124,73 +142,122 @@ def blocks(page: str) -> list[tuple[str, int, int, int, bool]]:
             if in_link:
                 linked += len("".join(piece.split()))
 
-    for m in _TOKEN.finditer(page):
+    def push(tag: str, attrs: str) -> None:
+        above = stack[-1]
+        kind, soft = _kind(tag, attrs, above.inside)
+        inside = above.inside or (kind == GOOD and not soft)
+        section = frames if tag in _SECTION else above.section
+        if above.kind == BAD and above.sure or kind == UNSURE:  # nothing inside firm boilerplate is text
+            stack.append(_Frame(tag, above.kind, above.number, above.sure, inside, section))
+        else:
+            stack.append(_Frame(tag, kind, frames, not soft, inside, section))
+        depth[tag] = depth.get(tag, 0) + 1
+
+    def pop() -> str:
+        tag = stack.pop().tag
+        depth[tag] -= 1
+        return tag
+
+    close = page.rfind(">") + 1  # tags that begin behind the last > have no end
+    while m := _TOKEN.search(page, at, close):
         add(page[at : m.start()])
         at = m.end()
         tag = m["tag"]
         if tag is None:
             continue
-        tag = tag.lower()
-        end = bool(m["end"])
+        tag, end = tag.lower(), bool(m["end"])
+        if tag in _RAW and not end and tag not in unclosed and not m["attrs"].endswith("/"):
+            if last := _RAW[tag].search(page, at):
+                at = last.end()
+                continue
+            if tag in _TO_THE_END:
+                at = len(page)
+                break
+            unclosed.add(tag)
         if tag == "br":
             parts.append(" ")
         elif tag == "a":
             in_link = 0 if end else 1
         elif tag in _BLOCK:
             flush()
+            heading = tag in _HEADING and not end
             if tag in _FRAME:
                 if not end:
-                    if tag in ("p", "li", "td") and len(stack) > 1 and stack[-1].tag == tag:
-                        stack.pop()
-                    elif tag in _HEADING | {"div", "article", "section", "ul", "ol", "table", "footer", "nav", "aside", "header", "main", "form"} and len(stack) > 1 and stack[-1].tag == "p":
-                        stack.pop()  # a paragraph ends where another block begins
-                    inside = any(f.kind == GOOD and not f.soft for f in stack)
-                    kind, soft = _kind(tag, m["attrs"], inside)
+                    if tag in ("p", "li", "td") and stack[-1].tag == tag or tag in _ENDS_P and stack[-1].tag == "p":
+                        pop()  # a paragraph ends where another block begins
                     frames += 1
                     if not m["attrs"].endswith("/"):
-                        stack.append(_Frame(tag, kind, frames, soft))
-                else:
-                    for k in range(len(stack) - 1, 0, -1):
-                        if stack[k].tag == tag:
-                            del stack[k:]
-                            break
-                in_link = 0
+                        push(tag, m["attrs"])
+                elif depth.get(tag):
+                    while pop() != tag:
+                        pass
+            elif tag in _HEADING and stack[-1].tag == "p":
+                pop()
+            in_link = 0
     if at < len(page):
-        add(page[at:])
+        rest = page[at:]
+        add(_TAIL.sub("", rest) if at >= close else rest)
     flush()
     return out
 
 
-def classify(items: list[tuple[str, int, int, int, bool]], short: int = 70, dense: float = 0.2, most_links: float = 0.4) -> list[int]:
-    """GOOD or BAD for each block."""
-    labels: list[int] = []
-    has_article = any(kind == GOOD and sure for _, _, kind, _, sure in items) or None
-    for text, linked, kind, _, sure in items:
-        links = linked / max(1, len(text) - text.count(" "))
-        if kind == BAD or links > (0.8 if kind == GOOD else most_links):
+def _first_pass(items: list[Block], short: int, sure: int, dense: float, most_links: float) -> list[int]:
+    """GOOD, BAD or UNSURE by link density, length and stop words alone, but for blocks in frames that are boilerplate."""
+    labels = []
+    for b in items:
+        links = b.linked / max(1, len(b.text) - b.text.count(" "))
+        named = b.kind == GOOD and b.sure
+        if b.kind == BAD or links > (0.8 if b.kind == GOOD else most_links):
             labels.append(BAD)
-        elif has_article and not (kind == GOOD and sure):
-            labels.append(BAD)  # the page names its article, and this is elsewhere
-        elif len(text) < short:
-            labels.append(UNSURE if links == 0 or kind == GOOD else BAD)
+        elif not named and len(b.text) < 3 * short and _COPYRIGHT.match(b.text):
+            labels.append(BAD)
+        elif len(b.text) < short:
+            labels.append(UNSURE if links == 0 or b.kind == GOOD else BAD)
         else:
-            words = _WORD.findall(text.lower())
+            words = _WORD.findall(b.text.lower())
             density = sum(w in STOP_WORDS for w in words) / max(1, len(words))
-            labels.append(GOOD if density >= dense else UNSURE)
+            # between the two lengths, only a frame's name makes a block certain
+            labels.append(GOOD if density >= dense and (named or len(b.text) >= sure) else UNSURE)
+    return labels
+
+
+def _second_pass(items: list[Block], labels: list[int], short: int) -> list[int]:
+    """Undecided blocks take the label of the nearest decided block of their own section, else of the frame that names it, else
+    of the page. Of two different ones, a heading takes the one that follows; of two as near, the frame's name decides. On a
+    page without any good block, long undecided blocks are text, or if there are none, those from the first heading on."""
+    n, labels = len(items), labels.copy()
+    if GOOD not in labels and not any(b.kind == GOOD for b in items):
+        head = next((k for k in range(n) if items[k].heading and labels[k] == UNSURE), n)
+        long = [k for k in range(n) if labels[k] == UNSURE and len(items[k].text) >= short]
+        for k in long or [k for k in range(head, n) if labels[k] == UNSURE]:
+            labels[k] = GOOD
+    sides = []
+    for order in (range(n), range(n - 1, -1, -1)):
+        nearest: list[tuple] = [()] * n
+        last, by_section, by_frame = None, {}, {}
+        for k in order:
+            if labels[k] != UNSURE:
+                last = by_section[items[k].section] = by_frame[items[k].number] = (k, labels[k])
+            else:
+                nearest[k] = (by_section.get(items[k].section), by_frame.get(items[k].number), last)
+        sides.append(nearest)
     out = labels.copy()
-    for k, label in enumerate(labels):
-        if label != UNSURE:
+    for k in range(n):
+        if labels[k] != UNSURE:
             continue
-        own = items[k][3]
         choice = UNSURE
-        for same in (True, False):
-            before = next(((k - j, labels[j]) for j in range(k - 1, -1, -1) if labels[j] != UNSURE and (not same or items[j][3] == own)), None)
-            after = next(((j - k, labels[j]) for j in range(k + 1, len(labels)) if labels[j] != UNSURE and (not same or items[j][3] == own)), None)
+        for before, after in zip(sides[0][k], sides[1][k]):
             if before and after and before[1] != after[1]:
-                choice = before[1] if before[0] < after[0] else after[1] if after[0] < before[0] else (GOOD if items[k][2] == GOOD else BAD)
+                nearer = k - before[0] - (after[0] - k)
+                if items[k].heading or nearer > 0:
+                    choice = after[1]
+                elif nearer < 0:
+                    choice = before[1]
+                else:
+                    choice = GOOD if items[k].kind == GOOD else BAD
             elif before or after:
                 choice = (before or after)[1]
-            elif items[k][2] == GOOD:
+            elif items[k].kind == GOOD:
                 choice = GOOD
             if choice != UNSURE:
                 break
@@ -198,12 +265,30 @@ def classify(items: list[tuple[str, int, int, int, bool]], short: int = 70, dens
     return out
 
 
+def classify(items: list[Block], short: int = 70, sure: int = 140, dense: float = 0.2, most_links: float = 0.4, trust: float = 0.25) -> list[int]:
+    """GOOD or BAD for each block.
+
+    Text that the first pass finds good weighs a page's named article: if at least ``trust`` of it stands there, the article
+    is where the page says, and blocks elsewhere are boilerplate; else the name counts for nothing."""
+    labels = _first_pass(items, short, sure, dense, most_links)
+    named = [b.kind == GOOD and b.sure for b in items]
+    inside = sum(len(b.text) for b, label, own in zip(items, labels, named) if label == GOOD and own)
+    every = sum(len(b.text) for b, label in zip(items, labels) if label == GOOD)
+    if any(named):
+        if inside >= trust * every and (inside or not every):
+            labels = [label if own else BAD for label, own in zip(labels, named)]
+        else:
+            items = [b._replace(kind=UNSURE, sure=False) if own else b for b, own in zip(items, named)]
+            labels = _first_pass(items, short, sure, dense, most_links)
+    return _second_pass(items, labels, short)
+
+
 def main_text(page: str | None) -> tuple[str, int, int]:
     """(text, blocks, kept blocks) of a page."""
     if not page:
         return "", 0, 0
     items = blocks(page)
-    kept = [text for (text, *_), label in zip(items, classify(items)) if label == GOOD]
+    kept = [b.text for b, label in zip(items, classify(items)) if label == GOOD]
     return "\n\n".join(kept), len(items), len(kept)
 
 
@@ -221,4 +306,6 @@ def extract(df: DataFrame, id_col: str = "page_id", html_col: str = "html", keep
     Null and empty pages, and pages without text, have an empty text. Repeated rows stay, an empty table gives an empty
     result; other columns are ignored. A kept column may not be called like a column of the result.
     """
+    if clash := {c.lower() for c in (id_col, *keep)} & {x.split()[0] for x in SCHEMA.split(", ")}:
+        raise ValueError(f"columns of the result can't be kept: {sorted(clash)}")
     return map_text(df, [id_col, *keep], html_col, SCHEMA, lambda: _worker())

@@ -59,9 +59,99 @@ def test_html_pages_hold_their_articles(spark):
         assert got[r["page_id"]]["n_chars"] == len(got[r["page_id"]]["text"])
 
 
+def neutral(page):
+    """A page without the tags and attributes that name its parts."""
+    page = re.sub(r"<(/?)(?:article|nav|footer|aside|header|main|form|section)\b[^>]*>", r"<\1div>", page)
+    return re.sub(r"<(div|p|ul|li)\s[^>]*>", r"<\1>", page)
+
+
+def test_html_without_names(spark):
+    both = got = want = 0
+    for r in spark.read.parquet(f"{SF.replace('0.001', '0.01')}/pages.parquet").collect():
+        a, b = set(html.main_text(r["html"])[0].split("\n\n")), set(html.main_text(neutral(r["html"]))[0].split("\n\n"))
+        both, got, want = both + len(a & b), got + len(b), want + len(a)
+    assert both >= 0.98 * got and both >= 0.98 * want
+
+
+def test_html_article_that_holds_no_text():
+    prose = "<p>This is the text that is to be kept, as it has a lot of the words that are in all of the texts, and it is long enough to be certain of it all.</p>"
+    page = f"<body><article><p>Read on</p></article><div>{prose * 3}</div></body>"
+    assert html.main_text(page)[0].count("This is the text") == 3
+    page = f"<body><article><p>Yes.</p>{prose * 3}</article><div>{prose}</div></body>"
+    assert html.main_text(page)[0].count("This is the text") == 3
+
+
+def test_html_passes_by_brute_force():
+    import random
+
+    rng = random.Random(6)
+    prose = [" ".join(rng.choice(["the", "of", "xaq", "borum", "and", "tiv"]) for _ in range(n)) for n in (2, 9, 25, 60) for _ in range(3)]
+    for _ in range(400):
+        items = []
+        for _ in range(rng.randint(1, 12)):
+            text = rng.choice([*prose, "© 2024 of us", "a b c"])
+            items.append(html.Block(text, rng.choice([0, 0, 0, 1, len(text)]), rng.choice([-1, 0, 0, 1]), rng.randint(0, 2), rng.random() < 0.5, rng.randint(0, 3), rng.random() < 0.2))
+        first = []
+        for b in items:
+            links = b.linked / len(b.text.replace(" ", ""))
+            words = b.text.split()
+            named = b.kind == 1 and b.sure
+            if b.kind == -1 or links > (0.8 if b.kind == 1 else 0.4) or (b.text[0] == "©" and not named):
+                first.append(-1)
+            elif len(b.text) < 70:
+                first.append(0 if not links or b.kind == 1 else -1)
+            else:
+                first.append(int(sum(w in html.STOP_WORDS for w in words) >= 0.2 * len(words) and (named or len(b.text) >= 140)))
+        labels = html._first_pass(items, 70, 140, 0.2, 0.4)
+        assert labels == first
+        n, want = len(items), list(labels)
+        if 1 not in labels and all(b.kind != 1 for b in items):
+            unsure = [k for k in range(n) if labels[k] == 0]
+            long = [k for k in unsure if len(items[k].text) >= 70]
+            heads = [k for k in unsure if items[k].heading]
+            for k in long or ([j for j in unsure if j >= heads[0]] if heads else []):
+                want[k] = 1
+        decided, out = list(want), list(want)
+        for k in range(n):
+            if decided[k]:
+                continue
+            for group in ([j for j in range(n) if items[j].section == items[k].section], [j for j in range(n) if items[j].number == items[k].number], range(n)):
+                a = max([j for j in group if j < k and decided[j]], default=None)
+                b = min([j for j in group if j > k and decided[j]], default=None)
+                if a is not None and b is not None and decided[a] != decided[b]:
+                    near = decided[a] if k - a < b - k else decided[b] if b - k < k - a else (1 if items[k].kind == 1 else -1)
+                    out[k] = decided[b] if items[k].heading else near
+                elif a is not None or b is not None:
+                    out[k] = decided[a if a is not None else b]
+                elif items[k].kind == 1:
+                    out[k] = 1
+                if out[k]:
+                    break
+            out[k] = out[k] or 1
+        assert html._second_pass(items, labels, 70) == out
+
+
+@pytest.mark.parametrize("piece", ["<p>word is</p>", '<a "', '<a x="', '<a x=">" ', "<div>x", "<button>x", "<p>a</div>", "<ul><li>a", "<!--"])
+def test_html_of_a_hostile_page(piece):
+    import time
+
+    page, began = piece * (1_000_000 // len(piece)), time.perf_counter()
+    html.main_text(page)
+    assert time.perf_counter() - began < 30  # it takes 3 s at most; a step that is quadratic takes hours
+    long = html.main_text("<div " + "a" * 1_000_000 + ">x</div>")
+    assert long[0] == "x"
+
+
+def test_html_head_that_is_not_closed():
+    assert html.main_text("<html><head><title>T</title><meta charset=x><p>One of the texts.<p>Two.")[0] == "One of the texts.\n\nTwo."
+    assert html.main_text("<div><button>x<p>One of the texts.</p></div>")[0] == "x\n\nOne of the texts."
+
+
 def test_html_odd(spark):
     got = html.extract(odd_table(spark).withColumn("url", F.lit("u")), "doc_id", "text", keep=("url",))
     assert got.count() == 2 * len(ODD) + 2 and html.extract(got.limit(0), "doc_id", "text", ()).count() == 0
+    with pytest.raises(ValueError, match="can't be kept"):
+        html.extract(got, "doc_id", "url", keep=("text",))
 
 
 # chats

@@ -13,6 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Bytes of text that one vectorised pass works on; a longer document is a pass of its own.
@@ -21,10 +22,11 @@ SLICE_BYTES = 512 << 10
 BATCH_BYTES = 16 << 20
 
 _rng = np.random.default_rng(20240229)
-_BYTE_CODE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(np.uint64) | np.uint64(1)
+_SEED = int(_rng.integers(1, 2**63))
 _BASE = int(_rng.integers(1, 2**62)) * 8 + 5
-_INVERSE = pow(_BASE, -1, 1 << 64)
-_power_cache: dict[int, np.ndarray] = {}
+_LOW_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Bytes of a span up to which spans are hashed in step.
+LONG_SPAN = 64
 
 _ASCII_LOWER = np.arange(256, dtype=np.uint8)
 _ASCII_LOWER[65:91] += 32
@@ -139,25 +141,29 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int, base: int = _BASE) -> np.ndarray:
-    """base**0 .. base**(n-1) modulo 2**64."""
-    have = _power_cache.get(base)
-    if have is None or len(have) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        have = np.ones(size, dtype=np.uint64)
-        have[1:] = np.uint64(base % (1 << 64))
-        np.multiply.accumulate(have, out=have)
-        if size > 1 << 24:
-            return have[:n]
-        _power_cache[base] = have
-    return have[:n]
-
-
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each byte span, from one prefix sum: equal spans get equal values wherever they stand."""
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_CODE[data] * powers(len(data)), out=total[1:])
-    return mix((total[ends] - total[starts]) * powers(len(data) + 1, _INVERSE)[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of each byte span: equal spans get equal values wherever they stand. Eight bytes at a time are stirred
+    in; spans of more than ``LONG_SPAN`` bytes are hashed one by one."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) * np.uint64(_BASE % (1 << 64)))
+    padded = np.zeros(len(data) + 8, np.uint8)
+    padded[: len(data)] = data
+    eight = np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    todo, left, at = None, size, starts
+    for _ in range(LONG_SPAN // 8):
+        block = eight[at] & _LOW_BYTES[np.minimum(left, 8)]
+        if todo is None:
+            out = mix(out ^ block)
+        else:
+            out[todo] = mix(out[todo] ^ block)
+        more = np.flatnonzero(left > 8)
+        if not len(more):
+            return out
+        todo, left, at = more if todo is None else todo[more], left[more] - 8, at[more] + 8
+    raw = data.tobytes()
+    for r in todo.tolist():
+        out[r] = xxhash.xxh3_64_intdigest(raw[starts[r] : ends[r]], _SEED)
+    return out
 
 
 def window_hashes(words: np.ndarray, size: int) -> np.ndarray:

@@ -33,6 +33,26 @@ def test_hashes_depend_on_bytes_only():
     assert len(C.window_hashes(np.arange(3, dtype=np.uint64), 5)) == 0
 
 
+def test_hashes_of_structured_spans_differ():
+    for n in (10, 12):
+        bits = np.array([bin(k).count("1") & 1 for k in range(1 << n)], np.uint8)  # sums of powers modulo 2**64 can't tell these apart
+        data = np.concatenate([bits + 97, 98 - bits, bits + 97])
+        at = np.arange(3) << n
+        a, b, c = C.span_hashes(data, at, at + (1 << n))
+        assert a != b and a == c
+
+
+def test_hashes_of_all_lengths():
+    rng = np.random.default_rng(5)
+    data = np.tile(rng.integers(0, 256, 150).astype(np.uint8), 2)
+    for size in range(150):
+        a, b, c = C.span_hashes(data, np.array([0, 150, 1]), np.array([size, 150 + size, 1 + size]))
+        assert a == b and (a != c or size == 0)
+    some = [(i, j) for i in range(40) for j in range(i, 120)]
+    begin, end = np.array(some).T
+    assert len(set(C.span_hashes(data, begin, end).tolist())) == len({data[i:j].tobytes() for i, j in some})
+
+
 def test_slices_cover_all_rows():
     column = pa.array(["x" * n for n in (0, 5, 0, 100, 1, 1)])
     assert [b - a for a, b in C.row_slices(column, 6)] and sum(b - a for a, b in C.row_slices(column, 6)) == 6

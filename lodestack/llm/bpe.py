@@ -21,6 +21,8 @@ from .common import map_text, span_hashes, text_bytes
 
 SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 EXTRAS = {"ids": "array<int>", "decoded": "string"}
+#: Bytes above which a word is merged with a heap.
+LONG_WORD = 256
 LETTER, NUMBER, OTHER, SPACE = 0, 1, 2, 3
 _TAILS = ((1, "s"), (1, "t"), (1, "m"), (1, "d"), (2, "re"), (2, "ve"), (2, "ll"))
 
@@ -215,6 +217,8 @@ class Codec:
 
     def merge_word(self, raw: bytes) -> list[int]:
         """Exact merging of one word: the lowest rank first, from the left."""
+        if len(raw) > LONG_WORD:
+            return self.merge_long(np.frombuffer(raw, np.uint8))
         parts = list(raw)
         get = self.merged.get
         while len(parts) > 1:
@@ -232,12 +236,44 @@ class Codec:
             parts = new
         return parts
 
+    def merge_long(self, raw: np.ndarray) -> list[int]:
+        """Exact merging of one long word: a heap of merges, the lowest rank first, from the left, over linked tokens."""
+        import heapq
+
+        token = raw.astype(np.int64)
+        rank = self.merge_rank(token[:-1], token[1:])
+        heap = ((rank << 40) | np.arange(len(rank)))[rank < 1 << 40].tolist()
+        heapq.heapify(heap)
+        parts, n, get = token.tolist(), len(token), self.merged.get
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        while heap:
+            x = heapq.heappop(heap)
+            new, i = x >> 40, x & ((1 << 40) - 1)
+            j = after[i]
+            if parts[i] < 0 or j >= n or get(parts[i] << 20 | parts[j]) != new:
+                continue  # one of the two has been merged since
+            parts[i], parts[j] = new, -1
+            k = after[i] = after[j]
+            if k < n:
+                before[k] = i
+                if (r := get(new << 20 | parts[k])) is not None:
+                    heapq.heappush(heap, r << 40 | i)
+            if (k := before[i]) >= 0 and (r := get(parts[k] << 20 | new)) is not None:
+                heapq.heappush(heap, r << 40 | k)
+        return [x for x in parts if x >= 0]
+
     def merge_words(self, data: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Exact merging of many words in step: each round does the lowest merge of every word that still has one."""
+        """Exact merging of many words in step: each round does the lowest merge of every word that still has one. Words of
+        more than ``LONG_WORD`` bytes are merged one by one, as every round costs their length."""
+        size = ends - begins
+        done_token, done_word = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for w in np.flatnonzero(size > LONG_WORD).tolist():
+            done_token.append(np.array(self.merge_long(data[begins[w] : ends[w]]), np.int64))
+            done_word.append(np.full(len(done_token[-1]), w))
+        begins = np.where(size > LONG_WORD, ends, begins)
         size = ends - begins
         token = data[np.repeat(begins - np.concatenate(([0], np.cumsum(size)))[:-1], size) + np.arange(int(size.sum()))].astype(np.int64)
         word = np.repeat(np.arange(len(size)), size)
-        done_token, done_word = [], []
         while len(token):
             rank = np.full(len(token), 1 << 40)
             near = np.flatnonzero(word[1:] == word[:-1])
@@ -257,7 +293,7 @@ class Codec:
             keep = ~over
             keep[at + 1] = False
             token, word = token[keep], word[keep]
-        token, word = np.concatenate([np.zeros(0, np.int64), *done_token]), np.concatenate([np.zeros(0, np.int64), *done_word])
+        token, word = np.concatenate(done_token), np.concatenate(done_word)
         order = np.argsort(word, kind="stable")
         return token[order], word[order]
 

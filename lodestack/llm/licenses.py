@@ -7,6 +7,8 @@ around each candidate the ``regex`` library's bounded-error matching verifies th
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -86,7 +88,10 @@ class NoticeSearch:
                     found.append((label, m.start(), m.end(), sum(m.fuzzy_counts)))
                     at = m.end()
         found.sort(key=lambda x: (x[1], x[2], x[0]))
-        return [x for x in found if not any(y[3] < x[3] and y[1] < x[2] and x[1] < y[2] for y in found)]
+        begins, longest = [x[1] for x in found], max((x[2] - x[1] for x in found), default=0)
+        # a notice is no longer than its template and its edits, so those that overlap one are near it
+        near_by = lambda x: found[bisect_right(begins, x[1] - longest) : bisect_left(begins, x[2])]
+        return [x for x in found if not any(y[3] < x[3] and x[1] < y[2] for y in near_by(x))]
 
 
 SCHEMA = "n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, spans array<struct<label:string,begin:long,end:long,edits:int>>"

@@ -338,6 +338,24 @@ def test_bpe_equals_the_library(codec):
     assert np.array_equal(exact[0], ids) and np.array_equal(exact[1], first)
 
 
+def test_bpe_merges_long_words(codec):
+    import random
+
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    lib, rng = Tokenizer.from_file(P.path("byte_bpe_50k.json")), random.Random(8)
+    for n, letters in ((300, "ab"), (2000, "etaoinshrdlu"), (5000, "abcdefghijklmnopqrstuvwxyz"), (257, "a"), (1000, "é😀x")):
+        word = "".join(rng.choice(letters) for _ in range(n))
+        raw = np.frombuffer(word.encode(), np.uint8)
+        want = lib.encode(word, add_special_tokens=False).ids
+        assert codec.ids[codec.merge_long(raw)].tolist() == want
+        data, offsets = bpe.text_bytes(pa.array([f"x {word} y", word]))
+        ids, first = codec.encode(data, offsets)
+        assert ids.tolist() == lib.encode(f"x {word} y", add_special_tokens=False).ids + want
+    assert len(codec.merge_long(np.frombuffer("".join(rng.choice("etaoinshrdlu") for _ in range(200_000)).encode(), np.uint8))) > 1000
+
+
 def test_bpe_forgets_when_full():
     import public_tokenizers as P
 
@@ -420,6 +438,21 @@ def test_license_fuzzy_against_edit_distance():
     assert search.find("nothing of the kind is here") == []
 
 
+def test_license_notices_that_overlap():
+    import random
+
+    rng, search = random.Random(5), licenses.NoticeSearch()
+    text = " ".join(rng.choice([*licenses.NOTICES, "all rights reservd", "mit licence", "gnu general public", "x"]) for _ in range(400))
+    got = search.find(text)
+    # what any of all others pushes out
+    alone = []
+    for number, (template, label, k, _) in enumerate(search.parts):
+        one = licenses.NoticeSearch({template: label})
+        alone += one.find(text)
+    alone.sort(key=lambda x: (x[1], x[2], x[0]))
+    assert got == [x for x in alone if not any(y[3] < x[3] and y[1] < x[2] and x[1] < y[2] for y in alone)] and len(got) > 100
+
+
 def test_license_odd(spark):
     got = licenses.license_scan(odd_table(spark)).collect()
     assert len(got) == 2 * len(ODD) + 2 and all(0 <= r["score"] <= 1 for r in got)

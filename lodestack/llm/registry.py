@@ -58,7 +58,7 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return passages.repeated_passages(_table(spark, sf_dir, "documents"))
+    return passages.repeated_passages(_table(spark, sf_dir, "documents")).drop("name")
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -32,7 +32,7 @@ ROUNDS = 4
 #: Classes and shingles in one block of exact counting.
 BLOCK_SETS, BLOCK_SHINGLES = 1500, 1_500_000
 #: Rows that may be broadcast to pick out documents.
-BROADCAST_ROWS = 2_000_000
+BROADCAST_ROWS = 1_000_000
 #: Bytes of input for each part of the signature space (what one task sorts at once), and of text in one slice that is signed.
 #: Less takes less memory in a worker, and more bytes in the shuffle.
 PART_BYTES, SLICE = 8 << 20, 4 << 20

@@ -321,6 +321,33 @@ def test_passages_are_cut_from_rows_without_ids(spark):
     assert sorted(left[w[0]] - len(w) for w in own) == [0, 0, 0, 60] and left[own[3][0]] == len(own[3])
 
 
+def test_passages_of_an_id_with_several_texts(spark):
+    rng = random.Random(18)
+    passage = words_of(rng, 60, 10**6)
+    own = [words_of(rng, n, 10**6) for n in (100, 30, 4, 10)]
+    rows = [(1, passage), (2, own[0] + passage), (2, own[1] + passage), (2, own[2]), (None, own[3]), (2, own[0] + passage)]
+    t = spark.createDataFrame([(k, " ".join(w)) for k, w in rows], "doc_id long, text string").repartition(3)
+    found = passages.repeated_passages(t)
+    spans = {(r["doc_id"], r["begin_word"], r["end_word"]) for r in found.collect()}
+    # a text of id 2 that isn't named by it comes first, so it may be document 1 that gets cut
+    assert len(spans) == 2 and {k for k, *_ in spans} <= {1, 2} and all(b - a == 60 for _, a, b in spans)
+    cut = [(r["doc_id"], len(r["text"].split())) for r in passages.without_passages(t, found).collect()]
+    assert len(cut) == 6 and (2, 4) in cut and (None, 10) in cut
+    assert sum(n for _, n in set(cut)) == sum(map(len, own)) + 60
+    assert corpus_pipeline.cut_repeated_passages(spark, t, SF).where("doc_id = 2").count() >= 3
+
+
+def test_a_passage_reaches_far_beyond_its_seeds(spark):
+    rng = random.Random(19)
+    fresh = lambda n: words_of(rng, n, 10**6)
+    # every tenth word differs at the ends, so no seed lies there, but the stretch goes on
+    whole = fresh(700)
+    other = [f"x{i}" if i % 8 == 3 and not 300 <= i < 400 else w for i, w in enumerate(whole)]
+    t = spark.createDataFrame([(1, " ".join(fresh(50) + whole)), (2, " ".join(fresh(20) + other))], "doc_id long, text string")
+    got = covered(passages.repeated_passages(t).collect())
+    assert len(got[2] & set(range(20, 720))) >= 690
+
+
 # decontamination
 
 

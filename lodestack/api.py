@@ -47,6 +47,13 @@ class Result:
     selection: R.Selection
     explain: dict[str, Any] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
+    fused: DataFrame | None = None
+
+    def hits(self, returned: int | None = None) -> int:
+        """Rows of a search before they are grouped and paged; of a query without one, those that are returned."""
+        if self.fused is not None:
+            return self.fused.count()
+        return self.rows.count() if returned is None else returned
 
     def frame(self) -> DataFrame:
         """The selected fields as columns."""
@@ -55,7 +62,7 @@ class Result:
     def json(self, explain: bool = False) -> dict[str, Any]:
         began = time.monotonic()
         found = self.rows.collect()
-        stats = {"returned": len(found), "took_ms": round(1000 * (time.monotonic() - began), 3)}
+        stats = {"returned": len(found), "total_hits": self.hits(len(found)), "took_ms": round(1000 * (time.monotonic() - began), 3)}
         return output.envelope(results=[output.item(r, self.selection, explain) for r in found], stats=stats, warnings=self.warnings or None, explain=self.explain if explain else None)
 
 
@@ -103,7 +110,7 @@ class Engine:
         rows = R.fuse(lex, sem, self.config.bm25_weight, self.config.vector_weight)
         if rows is None:
             rows = R._empty(corpus)
-        return Result(rows, R.select_fields(None), explain, warnings)
+        return Result(rows, R.select_fields(None), explain, warnings, rows)
 
     def search(self, text: str, k: int = 10, bm25: bool = False, vector: bool = False, filter: str | None = None, snapshot: str | None = None, literal: bool = False, strict: bool = True) -> Result:
         """The ``k`` best chunks: by full text with ``bm25``, by vectors with ``vector``, by both with neither or both."""

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import functools
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -236,38 +237,55 @@ def phrases(node: Node) -> list[Phrase]:
     return phrases(node.left) + phrases(node.right)
 
 
-def starts(terms: Column, p: Phrase) -> Column:
-    """Places (from 0) at which a phrase stands in an array of terms."""
-    if not p.terms:
-        return F.expr("cast(array() as array<int>)")
-    last = p.terms[-1]
-    same = lambda x, t, k: x.startswith(t) if p.prefix and k == len(p.terms) - 1 else x == t
-    n = len(p.terms)
-    if n == 1:
-        hits = F.filter(F.transform(terms, lambda x, i: F.when(same(x, last, 0), i)), lambda i: i.isNotNull())
-    else:
+class Terms:
+    """The search terms of a row, as an array of all of them."""
 
-        def at(i: Column) -> Column:
-            checks = [same(F.get(terms, i + k), t, k) for k, t in enumerate(p.terms)]
-            return functools.reduce(lambda a, b: a & b, checks)
+    def __init__(self, terms: Column) -> None:
+        self.terms = terms
 
-        places = F.when(F.size(terms) >= n, F.sequence(F.lit(0), F.size(terms) - n)).otherwise(F.expr("cast(array() as array<int>)"))
-        hits = F.filter(places, at)
-    return F.filter(hits, lambda i: i == 0) if p.first else hits
+    def length(self) -> Column:
+        return F.size(self.terms)
 
+    def starts(self, p: Phrase) -> Column:
+        """Places (from 0) at which a phrase stands."""
+        if not p.terms:
+            return F.expr("cast(array() as array<int>)")
+        last = p.terms[-1]
+        same = lambda x, t, k: x.startswith(t) if p.prefix and k == len(p.terms) - 1 else x == t
+        n = len(p.terms)
+        if n == 1:
+            hits = F.filter(F.transform(self.terms, lambda x, i: F.when(same(x, last, 0), i)), lambda i: i.isNotNull())
+        else:
+
+            def at(i: Column) -> Column:
+                checks = [same(F.get(self.terms, i + k), t, k) for k, t in enumerate(p.terms)]
+                return functools.reduce(lambda a, b: a & b, checks)
+
+            places = F.when(F.size(self.terms) >= n, F.sequence(F.lit(0), F.size(self.terms) - n)).otherwise(F.expr("cast(array() as array<int>)"))
+            hits = F.filter(places, at)
+        return F.filter(hits, lambda i: i == 0) if p.first else hits
+
+    def count(self, p: Phrase) -> Column:
+        """How often a phrase occurs; occurrences may overlap."""
+        if not p.terms:
+            return F.lit(0)
+        if len(p.terms) == 1 and not p.first:
+            return F.size(F.filter(self.terms, lambda x: x.startswith(p.terms[0]) if p.prefix else x == p.terms[0]))
+        # terms hold letters and digits only, so the text they make up can be searched as it is
+        pattern = f"{chr(92)}A" * p.first + f"(?= {' '.join(p.terms)}{'' if p.prefix else ' '})"
+        return F.regexp_count(F.concat(F.lit(" "), F.array_join(self.terms, " "), F.lit(" ")), F.lit(pattern))
 
-def count(terms: Column, p: Phrase) -> Column:
-    """How often a phrase stands in an array of terms; occurrences may overlap."""
-    if not p.terms:
-        return F.lit(0)
-    if len(p.terms) == 1 and not p.first:
-        return F.size(F.filter(terms, lambda x: x.startswith(p.terms[0]) if p.prefix else x == p.terms[0]))
-    # terms hold letters and digits only, so the text they make up can be searched as it is
-    pattern = f"{chr(92)}A" * p.first + f"(?= {' '.join(p.terms)}{'' if p.prefix else ' '})"
-    return F.regexp_count(F.concat(F.lit(" "), F.array_join(terms, " "), F.lit(" ")), F.lit(pattern))
+    def has(self, p: Phrase) -> Column:
+        if len(p.terms) == 1 and not p.first:
+            return F.exists(self.terms, lambda x: x.startswith(p.terms[0])) if p.prefix else F.array_contains(self.terms, p.terms[0])
+        return self.count(p) > 0
 
+    def once(self, body: Callable[[Terms], Column]) -> Column:
+        """``body`` of terms that are computed once."""
+        return let(self.terms, lambda t: body(Terms(t)))
 
-def _near(terms: Column, node: Near) -> Column:
+
+def _near(terms: Terms, node: Near) -> Column:
     """An array with, for each phrase of a NEAR, the number of its places that are part of some close group."""
     inside = lambda i, m, p: (i <= m) & (i >= m - len(p.terms) - node.distance)
 
@@ -277,15 +295,18 @@ def _near(terms: Column, node: Near) -> Column:
         good = F.filter(functools.reduce(F.concat, own), close)
         return let(good, lambda g: F.array(*[F.size(F.filter(x, (lambda p: lambda i: F.exists(g, lambda m: inside(i, m, p)))(p))) for x, p in zip(own, node.phrases)]))
 
-    return let(terms, lambda t: let(F.struct(*[starts(t, p).alias(f"p{k}") for k, p in enumerate(node.phrases)]), counts))
+    return terms.once(lambda t: let(F.struct(*[t.starts(p).alias(f"p{k}") for k, p in enumerate(node.phrases)]), counts))
+
+
+def _of(terms: Terms | Column) -> Terms:
+    return terms if isinstance(terms, Terms) else Terms(terms)
 
 
-def matches(node: Node, terms: Column) -> Column:
-    """Whether an array of terms matches."""
+def matches(node: Node, terms: Terms | Column) -> Column:
+    """Whether the search terms of a row match."""
+    terms = _of(terms)
     if isinstance(node, Phrase):
-        if len(node.terms) == 1 and not node.first:
-            return F.exists(terms, lambda x: x.startswith(node.terms[0])) if node.prefix else F.array_contains(terms, node.terms[0])
-        return count(terms, node) > 0
+        return terms.has(node)
     if isinstance(node, Near):
         return F.get(_near(terms, node), F.lit(0)) > 0
     if isinstance(node, And):
@@ -311,21 +332,21 @@ def corpus_stats(rows: DataFrame, node: Node, terms: str = "terms") -> Stats:
     return Stats(r["rows"], r["average"] or 0.0, tuple(r[f"n{i}"] or 0 for i in range(len(own))))
 
 
-def bm25(node: Node, terms: Column, stats: Stats) -> Column:
+def bm25(node: Node, terms: Terms | Column, stats: Stats) -> Column:
     """BM25 of rows, negated so that the best is least. A phrase counts where its own part of the query matches."""
-    number = iter(range(len(stats.having)))
+    number, terms = iter(range(len(stats.having))), _of(terms)
 
     def part(times: Column) -> Column:
         n = stats.having[next(number)]
         idf = math.log((stats.rows - n + 0.5) / (n + 0.5)) if stats.rows else 0.0
         idf = idf if idf > 0 else 1e-6
         tf = times.cast("double")
-        length = F.size(terms) / F.lit(float(stats.average or 1.0))
+        length = terms.length() / F.lit(float(stats.average or 1.0))
         return F.lit(idf) * (tf * (K1 + 1)) / (tf + K1 * (F.lit(1 - B) + B * length))
 
     def score(n: Node) -> Column:
         if isinstance(n, Phrase):
-            return part(count(terms, n))
+            return part(terms.count(n))
         if isinstance(n, Near):
             found = _near(terms, n)
             return functools.reduce(lambda a, b: a + b, [part(F.get(found, F.lit(k))) for k in range(len(n.phrases))])

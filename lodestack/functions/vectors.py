@@ -1,4 +1,4 @@
-"""Embeddings and similarity without Python on the executors."""
+"""Embeddings and similarity."""
 
 from __future__ import annotations
 
@@ -7,11 +7,10 @@ import hashlib
 from typing import Protocol
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import let
-
 
 class Embedder(Protocol):
     """Makes vectors of ``dim`` floats from token arrays; ``name`` is kept with the store."""
@@ -24,6 +23,16 @@ class Embedder(Protocol):
     def query(self, text: str) -> list[float]: ...
 
 
+def _place(token: str, dim: int) -> tuple[int, int]:
+    value = int.from_bytes(hashlib.sha256(token.encode()).digest()[:8], "little")
+    return value % dim, 1 if value >> 63 else -1
+
+
+def _unit(vector: np.ndarray) -> np.ndarray:
+    norm = np.linalg.norm(vector)
+    return (vector / norm if norm else vector).astype(np.float32)
+
+
 class HashEmbedder:
     """Signed feature hashing: each token adds +1 or -1 at a place that its SHA-256 tells; vectors have length 1."""
 
@@ -40,23 +49,33 @@ class HashEmbedder:
         return F.struct((value % self.dim).cast("int").alias("idx"), F.when(value >= F.lit("9223372036854775808").cast("decimal(20,0)"), 1).otherwise(-1).alias("sign"))
 
     def column(self, tokens: Column) -> Column:
-        places = F.transform(tokens, self.place)
-        zero = F.array_repeat(F.lit(0), self.dim)
-        sums = F.aggregate(places, zero, lambda v, p: F.concat(F.slice(v, 1, p["idx"]), F.array(F.element_at(v, p["idx"] + 1) + p["sign"]), F.slice(v, p["idx"] + 2, self.dim)))
-
-        def unit(v: Column) -> Column:
-            norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda n, x: n + x.cast("double") * x))
-            return let(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(0.0).cast("float")))
-
-        return let(sums, unit)
+        """Vectors of token arrays, a batch at a time: built-in functions would copy a vector for every token."""
+        dim = self.dim
+
+        @F.pandas_udf("array<float>")
+        def embed(lists: pd.Series) -> pd.Series:
+            known: dict[str, tuple[int, int]] = {}
+            out = []
+            for own in lists:
+                if own is None:
+                    out.append(None)
+                    continue
+                vector = np.zeros(dim)
+                for token in own:
+                    if (found := known.get(token)) is None:
+                        found = known[token] = _place(token, dim)
+                    vector[found[0]] += found[1]
+                out.append(_unit(vector))
+            return pd.Series(out)
+
+        return embed(tokens)
 
     def query(self, text: str) -> list[float]:
         out = np.zeros(self.dim)
         for token in text.split():
-            value = int.from_bytes(hashlib.sha256(token.encode()).digest()[:8], "little")
-            out[value % self.dim] += 1 if value >> 63 else -1
-        norm = np.linalg.norm(out)
-        return [float(x) for x in (out / norm if norm else out).astype(np.float32)]
+            at, sign = _place(token, self.dim)
+            out[at] += sign
+        return _unit(out).tolist()
 
 
 def dot(a: Column, b: Column) -> Column:

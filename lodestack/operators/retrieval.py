@@ -16,6 +16,7 @@ from ..functions.vectors import cosine
 from ..plans.filters import Filters, meta_is_number, meta_key, meta_value
 from ..plans.syntax import Expr, Field, Order, Query
 from ..schema import CHUNK_FIELDS, DOC_FIELDS, NUMERIC_FIELDS, Corpus, QueryError
+from . import postings as PT
 
 #: Limit of a structured query that names none.
 DEFAULT_LIMIT = 1000
@@ -65,6 +66,8 @@ def lexical_tree(corpus: Corpus, node: FT.Node, k: int, where: Expr | None = Non
     """
     if k <= 0:
         return _empty(corpus)
+    if corpus.index is not None:
+        return _from_index(corpus, node, k, where, snapshot)
     stats = FT.corpus_stats(corpus.chunk, node)
     rows = joined(corpus, snapshot, ("terms",)).where(FT.matches(node, F.col("terms")))
     if where is not None:
@@ -74,6 +77,35 @@ def lexical_tree(corpus: Corpus, node: FT.Node, k: int, where: Expr | None = Non
     return best.select(score.alias("score"), score.alias("lexical"), F.lit(None).cast("float").alias("semantic"), "doc", "chunk")
 
 
+def _fields(e: Expr) -> set[str]:
+    """Names of the chunk fields that a filter looks at."""
+    if hasattr(e, "field"):
+        return {e.field.name} if e.field.table != "doc" else set()
+    return set().union(*[_fields(part) for part in vars(e).values()])
+
+
+def _from_index(corpus: Corpus, node: FT.Node, k: int, where: Expr | None, snapshot: str | None) -> DataFrame:
+    """``lexical_tree`` over an index: postings of the query's words, narrow columns of the chunks that match, and the text of
+    the best ones only."""
+    index = corpus.index
+    text = F.col("text") if where is not None and "text" in _fields(where) else F.lit("").alias("text")
+    chunk = index.rows.where(~F.col("deleted")).select("n", F.struct("id", "doc_id", "offset", "tokens", text).alias("chunk"))
+    doc = live_docs(corpus, snapshot).select(F.struct(*DOC_FIELDS).alias("doc"))
+    rows = PT.search(index, node).join(chunk, "n").join(doc, F.col("chunk.doc_id") == F.col("doc.id"))
+    if where is not None:
+        rows = rows.where(filters().compile(where))
+    best = rows.select("n", "doc", "chunk", "bm25").orderBy("bm25", *_rank()).limit(k)
+    if k <= PT.LOOKUP_ROWS:
+        found = best.collect()
+        best = corpus.doc.sparkSession.createDataFrame(found, best.schema)
+        texts = PT.lookup(index, [r["n"] for r in found], [F.col("text").alias("own_text")])
+    else:
+        texts = index.rows.select("n", F.col("text").alias("own_text"))
+    whole = F.col("chunk").withField("text", F.col("own_text")).alias("chunk")
+    score = (1.0 / (1.0 + F.greatest(F.col("bm25"), F.lit(0.0)))).cast("float")
+    return best.join(texts, "n").select(score.alias("score"), score.alias("lexical"), F.lit(None).cast("float").alias("semantic"), "doc", whole)
+
+
 def lexical(corpus: Corpus, text: str, k: int, where: Expr | None = None, snapshot: str | None = None, literal: bool = False) -> Lexical:
     """Full-text search. In literal mode the text is cleaned first; else only after a syntax error, if that changes it."""
     if literal:

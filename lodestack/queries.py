@@ -6,19 +6,24 @@ For vectors, chunks are whole documents that have a row in ``embeddings``.
 
 from __future__ import annotations
 
+import re
+import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .api import Engine, ranked
+from . import output as OUT
+from .api import Engine, at_file, ranked
 from .functions import fulltext as FT
 from .functions import text as X
 from .functions.vectors import HashEmbedder
 from .operators import chunking as CH
 from .operators import context as C
+from .operators import postings as PT
 from .operators import retrieval as R
-from .plans.syntax import parse_filter
+from .plans.syntax import Query, parse_filter
 from .schema import DOC, Config, Corpus
 from .sources import files as FS
 from .sources import store as ST
@@ -70,10 +75,42 @@ def query_vector(spark: SparkSession, sf_dir: str) -> list[float]:
     return list(spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id = 0").select("embedding").first()[0])
 
 
+_INGESTED: dict[tuple, Corpus] = {}
+
+
+def _folder(spark: SparkSession) -> str:
+    """A fresh folder that all executors share: below ``spark.checkpoint.dir``, or a temporary one of a local session."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="lodestack-")
+    return f"{root.rstrip('/')}/ingested-{uuid.uuid4().hex}"
+
+
+def ingested(spark: SparkSession, sf_dir: str) -> Corpus:
+    """The corpus of a folder with its inverted index, as a store holds it: written once in a session for the state that the
+    table is in, and read by every search after that."""
+    found = spark.read.parquet(f"{sf_dir}/documents.parquet").select("_metadata.file_path", "_metadata.file_size", "_metadata.file_modification_time").distinct().collect()
+    key = (id(spark), *sorted((r[0], r[1], str(r[2])) for r in found))
+    if key not in _INGESTED:
+        d, path = docs(spark, sf_dir), _folder(spark)
+        fresh = Corpus(d.select(*DOC.fieldNames()), CH.chunk_documents(d, SIZE, OVERLAP, HashEmbedder(256)))
+        fresh.doc.write.parquet(f"{path}/doc")
+        PT.write(fresh.chunk, f"{path}/chunk")
+        index = PT.read(spark, f"{path}/chunk")
+        _INGESTED[key] = Corpus(spark.read.schema(DOC).parquet(f"{path}/doc"), index.rows.drop("n"), index)
+    return _INGESTED[key]
+
+
 def engine(spark: SparkSession, sf_dir: str) -> Engine:
     return Engine(corpus(spark, sf_dir), Config())
 
 
+def searcher(spark: SparkSession, sf_dir: str) -> Engine:
+    return Engine(ingested(spark, sf_dir), Config())
+
+
 DOC_SQL = """doc AS (SELECT *, sha256(path || chr(0) || hash) AS id FROM (SELECT doc_id AS n, coalesce(text, '') AS text, coalesce(lang, 'und') AS tag,
   coalesce(source, 'none') AS source, coalesce(source, 'none') || '/' || coalesce(lang, 'und') || '/' || lpad(doc_id::VARCHAR, 7, '0') || '.txt' AS path,
   sha256(coalesce(text, '')) AS hash, '2024-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') || 'T00:00:00Z' AS mtime, strlen(coalesce(text, '')) AS size,
@@ -192,22 +229,22 @@ def content_ids(spark, sf_dir):
     return docs(spark, sf_dir).select(F.col("n").alias("doc_id"), "hash", "id", X.chunk_id(F.col("id"), F.lit(0)).alias("chunk_id"))
 
 
-@register()
+@register(f"""WITH {DOC_SQL} SELECT n AS doc_id, '{{"lang":"' || tag || '","status":"' || source || '"}}' AS meta FROM doc""")
 def meta_front_matter(spark, sf_dir):
     text = F.concat(F.lit("---\nStatus: open\nLang: "), F.col("tag"), F.lit("\nstatus: "), F.col("source"), F.lit("\n---\n"), F.col("text"))
     return docs(spark, sf_dir).select(F.col("n").alias("doc_id"), CH.metadata(text).alias("meta"))
 
 
-@register()
+@register(f"""WITH {DOC_SQL} SELECT n AS doc_id, '{{"doc_lang":"' || tag || '","owner":"","status":"active"}}' AS meta FROM doc""")
 def meta_header(spark, sf_dir):
     text = F.concat(F.lit("\n# Title\n\nStatus: active\nDoc Lang: "), F.col("tag"), F.lit("\nOwner:\n\n"), F.col("text"))
     return docs(spark, sf_dir).select(F.col("n").alias("doc_id"), CH.metadata(text).alias("meta"))
 
 
 @register(r"""SELECT doc_id, lower(regexp_replace(regexp_replace(regexp_replace(trim(head), '[^A-Za-z0-9 _-]', '', 'g'), '[ _-]+', '_', 'g'), '^_+|_+$', '', 'g')) AS key
-  FROM (SELECT doc_id, substring(coalesce(replace(text, chr(10), ' '), ''), 1, 40) AS head FROM documents)""")
+  FROM (SELECT doc_id, coalesce(replace(text, chr(10), ' '), '') AS head FROM documents)""")
 def meta_key_norm(spark, sf_dir):
-    return docs(spark, sf_dir).select(F.col("n").alias("doc_id"), X.meta_key(F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 40)).alias("key"))
+    return docs(spark, sf_dir).select(F.col("n").alias("doc_id"), X.meta_key(F.replace("text", F.lit("\n"), F.lit(" "))).alias("key"))
 
 
 @register(f"""WITH {DOC_SQL}, t AS (SELECT DISTINCT unnest({WORDS.format("text")}) AS token FROM doc),
@@ -218,6 +255,23 @@ def hash_features(spark, sf_dir):
     return docs(spark, sf_dir).select(F.explode(X.tokens(F.col("text"))).alias("token")).distinct().select("token", place["idx"].alias("idx"), place["sign"].alias("sign"))
 
 
+PLACE_SQL = """place AS (SELECT token, (v % 256)::INTEGER AS idx, CASE WHEN v >= 9223372036854775808 THEN 1 ELSE -1 END AS sign FROM
+    (SELECT token, list_reduce(list_transform(range(8), lambda i: ('0x' || substr(sha256(token), (15 - 2 * i)::INT, 2))::UBIGINT::HUGEINT), lambda a, b: a * 256 + b) AS v FROM
+      (SELECT token FROM tok UNION SELECT token FROM asked)))"""
+
+
+@register(f"""WITH {DOC_SQL}, tok AS (SELECT n AS id, unnest({WORDS.format("text")}) AS token FROM doc), asked AS (SELECT 'x' AS token), {PLACE_SQL},
+  vec AS (SELECT id, idx, sum(sign)::DOUBLE AS x FROM tok JOIN place USING (token) GROUP BY id, idx),
+  unit AS (SELECT id, idx, (x / sqrt(sum(x * x) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS x FROM vec WHERE x <> 0)
+SELECT n AS doc_id, coalesce(len(list(idx) FILTER (idx IS NOT NULL)), 0)::BIGINT AS n_places, round(coalesce(sum(x * (idx + 1)), 0), 2) AS checksum, round(coalesce(sum(abs(x)), 0), 2) AS total
+FROM doc LEFT JOIN unit ON n = unit.id GROUP BY n""")
+def hash_vector(spark, sf_dir):
+    v = docs(spark, sf_dir).select(F.col("n").alias("doc_id"), HashEmbedder(256).column(X.tokens(F.col("text"))).alias("v"))
+    add = lambda c: F.aggregate(c, F.lit(0.0), lambda s, x: s + x)
+    # adding 0.0 makes a sum of -0.0 a plain zero
+    return v.select("doc_id", F.size(F.filter("v", lambda x: x != 0)).cast("long").alias("n_places"), (F.round(add(F.transform("v", lambda x, i: x.cast("double") * (i + 1))), 2) + 0.0).alias("checksum"), F.round(add(F.transform("v", lambda x: F.abs(x.cast("double")))), 2).alias("total"))
+
+
 # projection, filters, structured queries
 
 
@@ -288,6 +342,21 @@ def snapshot_filter(spark, sf_dir):
     return engine(spark, sf_dir).query("FROM doc LIMIT 1000000000 SELECT doc.path", snapshot="2024-01-10T00:00:00Z").frame()
 
 
+@register(f"WITH {DOC_SQL} SELECT path AS doc_path, tag AS doc_tag, meta->>'$.n_chars' AS doc_meta_n_chars FROM doc WHERE tag = 'de'")
+def select_first(spark, sf_dir):
+    return _asked(spark, sf_dir, "SELECT doc.path, tag, doc.meta.n_chars FROM doc FILTER doc.tag = 'de' LIMIT 1000000000")
+
+
+@register(f"WITH {DOC_SQL} SELECT path AS doc_path FROM doc WHERE tag = 'es' AND NOT source = 'src2'")
+def filter_from_file(spark, sf_dir):
+    with tempfile.NamedTemporaryFile("w", suffix=".txt") as file:  # read by this process at once
+        file.write("doc.tag = 'es' AND NOT doc.source = 'src2'\n")
+        file.flush()
+        where = parse_filter(at_file(f"@{file.name}"))
+    rows = R.structured(corpus(spark, sf_dir), Query(select=None, table="doc", filter=where, limit=10**9))
+    return rows.select(F.col("doc.path").alias("doc_path"))
+
+
 # joins
 
 
@@ -308,10 +377,8 @@ def anti_missing_index(spark, sf_dir):
 
 def _matching(spark, sf_dir, text: str) -> DataFrame:
     """All chunks that match, with their scores."""
-    c = corpus(spark, sf_dir)
-    node = FT.parse(text)
-    stats = FT.corpus_stats(c.chunk, node)
-    return c.chunk.where(FT.matches(node, F.col("terms"))).select("id", F.round(FT.bm25(node, F.col("terms"), stats), 5).alias("bm25"))
+    index = ingested(spark, sf_dir).index
+    return PT.search(index, FT.parse(text)).join(index.rows.select("n", "id"), "n").select("id", F.round("bm25", 5).alias("bm25"))
 
 
 def _lex_sql(where: str, *counts: str) -> str:
@@ -360,20 +427,125 @@ def lex_prefix(spark, sf_dir):
 @register(f"""WITH {CHUNK_SQL}, found AS ({_lex_sql("f0 > 0 OR f1 > 0", _tf("idiot"), _tf("trash"))})
 SELECT path, "offset"::BIGINT AS "offset", 1.0::DOUBLE AS score FROM chunk JOIN found USING (id) ORDER BY bm25, path, "offset", id LIMIT 20""")
 def lex_bm25_topk(spark, sf_dir):
-    rows = engine(spark, sf_dir).search("idiot OR trash", 20, bm25=True).rows
+    rows = searcher(spark, sf_dir).search("idiot OR trash", 20, bm25=True).rows
     return rows.select("doc.path", "chunk.offset", F.col("score").cast("double").alias("score"))
 
 
 @register(f"""WITH {CHUNK_SQL}, found AS ({_lex_sql("f0 > 0 AND f1 > 0", _tf("stupid"), _tf("the"))})
 SELECT path, "offset"::BIGINT AS "offset", 1.0::DOUBLE AS score FROM chunk JOIN found USING (id) ORDER BY bm25, path, "offset", id LIMIT 20""")
 def lex_sanitized(spark, sf_dir):
-    rows = engine(spark, sf_dir).search("stupid, the?", 20, bm25=True).rows
+    rows = searcher(spark, sf_dir).search("stupid, the?", 20, bm25=True).rows
     return rows.select("doc.path", "chunk.offset", F.col("score").cast("double").alias("score"))
 
 
+@register(f"""WITH {CHUNK_SQL} SELECT id FROM terms WHERE len(list_filter(range(1, len(t)::BIGINT + 1), lambda i: t[i] = 'with' AND list_contains(t[greatest(1, i - 4):i + 4], 'of'))) > 0""")
+def lex_near(spark, sf_dir):
+    return _matching(spark, sf_dir, "NEAR(with of, 3)").select("id")
+
+
+@register(f"WITH {CHUNK_SQL} SELECT id FROM terms WHERE t[1] = 'the' OR (t[1] = 'of' AND t[2] = 'the')")
+def lex_first(spark, sf_dir):
+    return _matching(spark, sf_dir, "^the OR ^of + the").select("id")
+
+
+@register(_lex_sql("f0 > 0", _PAIR))
+def lex_plus(spark, sf_dir):
+    return _matching(spark, sf_dir, "of + the")
+
+
+@register(_lex_sql("f0 > 0 AND NOT f1 > 0", _tf("with"), "0"))
+def lex_column(spark, sf_dir):
+    return _matching(spark, sf_dir, "text : with")
+
+
+@register(f"""WITH {CHUNK_SQL}, found AS ({_lex_sql("f0 > 0 AND f1 > 0", _tf("stupid"), _tf("the"))})
+SELECT path, "offset"::BIGINT AS "offset", 1.0::DOUBLE AS score FROM chunk JOIN found USING (id) ORDER BY bm25, path, "offset", id LIMIT 20""")
+def lex_literal(spark, sf_dir):
+    rows = searcher(spark, sf_dir).search('"stupid" - the!', 20, bm25=True, literal=True).rows
+    return rows.select("doc.path", "chunk.offset", F.col("score").cast("double").alias("score"))
+
+
+def _found_sql(k: int, rest: str) -> str:
+    """The ``k`` best chunks with the word "with" as ``top``, then ``rest``."""
+    return f"""WITH {CHUNK_SQL}, found AS ({_lex_sql("f0 > 0", _tf("with"))}), top AS (SELECT chunk.* FROM chunk JOIN found USING (id) ORDER BY bm25, path, "offset", id LIMIT {k}) {rest}"""
+
+
+@register(_found_sql(25, """SELECT path AS doc_path, "offset"::BIGINT AS chunk_offset, tokens::BIGINT AS chunk_tokens FROM top ORDER BY tokens, path, "offset", id LIMIT 15 OFFSET 10"""))
+def scored_order(spark, sf_dir):
+    return searcher(spark, sf_dir).query("FROM chunk USING lexical('with') ORDER BY chunk.tokens ASC LIMIT 15 OFFSET 10 SELECT doc.path, chunk.offset, chunk.tokens").frame()
+
+
+@register(_found_sql(50, """SELECT 1.0::DOUBLE AS score, path AS doc_path, "offset"::BIGINT AS chunk_offset FROM top ORDER BY path, "offset", id LIMIT 30 OFFSET 20"""))
+def scored_page(spark, sf_dir):
+    found = searcher(spark, sf_dir).query("FROM chunk USING lexical('with') LIMIT 30 OFFSET 20 SELECT score, doc.path, chunk.offset").frame()
+    return found.withColumn("score", F.col("score").cast("double"))
+
+
+@register(_found_sql(40, """SELECT 1.0::DOUBLE AS score, doc.id AS doc_id, doc.path AS doc_path, mtime AS doc_mtime, hash AS doc_hash, doc.tag AS doc_tag, source AS doc_source, meta AS doc_meta,
+  top.id AS chunk_id, top.doc_id AS chunk_doc_id, "offset"::BIGINT AS chunk_offset, tokens::BIGINT AS chunk_tokens, top.text AS chunk_text FROM top JOIN doc ON doc.id = top.doc_id"""))
+def select_default(spark, sf_dir):
+    found = searcher(spark, sf_dir).search("with", 40, bm25=True).frame()
+    return found.withColumn("score", F.col("score").cast("double"))
+
+
+@register(_found_sql(20, """SELECT '1.000' || chr(9) || path || chr(9) || "offset"::VARCHAR || chr(9) || text AS line FROM top"""))
+def output_table(spark, sf_dir):
+    rows = searcher(spark, sf_dir).search("with", 20, bm25=True).rows.collect()  # a page for people
+    return spark.createDataFrame([(x,) for x in OUT.table(rows, explain=True).split("\n")] if rows else [], "line string")
+
+
+@register(_found_sql(20, """SELECT 'result' AS type, path, "offset"::BIGINT AS "offset", text FROM top UNION ALL SELECT 'meta', NULL, NULL, NULL"""))
+def output_jsonl(spark, sf_dir):
+    answer = searcher(spark, sf_dir).search("with", 20, bm25=True).json()
+    found = spark.createDataFrame([(x,) for x in OUT.json_lines(answer)], "line string")
+    at = lambda path: F.get_json_object("line", path)
+    return found.select(at("$.type").alias("type"), at("$.doc.path").alias("path"), at("$.chunk.offset").cast("long").alias("offset"), at("$.chunk.text").alias("text"))
+
+
+@register(_found_sql(60, """SELECT least(10, (SELECT count(DISTINCT path) FROM top))::BIGINT AS returned, count(*)::BIGINT AS total_hits, 'lexical' AS mode FROM top"""))
+def search_stats(spark, sf_dir):
+    # the 60 best chunks are found for 10 documents after 50
+    found = searcher(spark, sf_dir).query("FROM doc USING lexical('with') LIMIT 60 SELECT doc.path")
+    answer = Engine(ingested(spark, sf_dir), Config(max_limit=60)).query("FROM doc USING lexical('with') SELECT doc.path").json(explain=True)
+    returned = min(10, answer["stats"]["returned"])
+    return spark.createDataFrame([(returned, found.hits(), answer["explain"]["mode"])], "returned long, total_hits long, mode string")
+
+
 # vectors, fusion, paging
 
 
+def _hashed_sql(tokens: list[str]) -> str:
+    """``near``: chunks with their similarity to hashed tokens."""
+    return f"""tok AS (SELECT id, unnest(string_split(text, ' ')) AS token FROM chunk), asked AS (SELECT unnest({tokens}) AS token), {PLACE_SQL},
+  vec AS (SELECT id, idx, sum(sign)::DOUBLE AS x FROM tok JOIN place USING (token) GROUP BY id, idx),
+  unit AS (SELECT id, idx, (x / sqrt(sum(x * x) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS x FROM vec WHERE x <> 0),
+  q AS (SELECT idx, (y / sqrt(sum(y * y) OVER ()))::FLOAT::DOUBLE AS y FROM (SELECT idx, sum(sign)::DOUBLE AS y FROM asked JOIN place USING (token) GROUP BY idx) WHERE y <> 0),
+  dots AS (SELECT id, round(sum(x * coalesce(y, 0)) / sqrt(sum(x * x)) / (SELECT sqrt(sum(y * y)) FROM q), 12) AS s FROM unit LEFT JOIN q USING (idx) GROUP BY id),
+  near AS (SELECT chunk.*, s FROM chunk JOIN dots USING (id))"""
+
+
+@register(f"""WITH {CHUNK_SQL}, {_hashed_sql(["with", "of", "the"])} SELECT path AS doc_path, "offset"::BIGINT AS chunk_offset, round(s::FLOAT::DOUBLE, 4) AS score FROM near ORDER BY s DESC, doc_id, "offset", id LIMIT 25""")
+def knn_hashed_text(spark, sf_dir):
+    found = searcher(spark, sf_dir).query("FROM chunk USING semantic('with of the') LIMIT 25 SELECT score, doc.path, chunk.offset").frame()
+    return found.withColumn("score", F.round(F.col("score").cast("double"), 4))
+
+
+def _fused_sql(k: int) -> str:
+    """``fused``: the ``k`` best chunks with "with" or "was", and the ``k`` nearest to these words."""
+    return f"""WITH {CHUNK_SQL}, {_hashed_sql(["with", "OR", "was"])}, found AS ({_lex_sql("f0 > 0 OR f1 > 0", _tf("with"), _tf("was"))}),
+  lx AS (SELECT chunk.* FROM chunk JOIN found USING (id) ORDER BY bm25, path, "offset", id LIMIT {k}), sx AS (SELECT * FROM near ORDER BY s DESC, doc_id, "offset", id LIMIT {k}),
+  fused AS (SELECT coalesce(lx.id, sx.id) AS id, (CASE WHEN lx.id IS NULL THEN 0 ELSE 0.5 END + coalesce(s, 0) * 0.5)::FLOAT AS score FROM lx FULL JOIN sx USING (id))"""
+
+
+@register(_fused_sql(30) + """ SELECT * FROM (SELECT 'full text' AS mode, path, "offset"::BIGINT AS "offset", 1.0::DOUBLE AS score FROM lx)
+  UNION ALL SELECT * FROM (SELECT 'vectors', path, "offset"::BIGINT, round(s::FLOAT::DOUBLE, 4) FROM sx)
+  UNION ALL SELECT * FROM (SELECT 'both', path, "offset"::BIGINT, round(score::DOUBLE, 4) FROM fused JOIN chunk USING (id) ORDER BY fused.score DESC, path, "offset", id LIMIT 30)""")
+def search_flags(spark, sf_dir):
+    e = searcher(spark, sf_dir)
+    found = [e.search("with OR was", 30, **flags).rows.select(F.lit(mode).alias("mode"), "doc.path", "chunk.offset", F.round(F.col("score").cast("double"), 4).alias("score")) for mode, flags in (("full text", {"bm25": True}), ("vectors", {"vector": True}), ("both", {}))]
+    return found[0].unionByName(found[1]).unionByName(found[2])
+
+
 def _semantic(spark, sf_dir, k: int, where: str | None = None) -> DataFrame:
     rows = R.semantic(vector_corpus(spark, sf_dir), query_vector(spark, sf_dir), k, parse_filter(where) if where else None)
     return rows.select("doc.path", _round("score"))
@@ -424,7 +596,7 @@ def hybrid_lex_empty_passthrough(spark, sf_dir):
 @register(f"""WITH {CHUNK_SQL}, found AS ({_lex_sql("f0 > 0", _tf("with"))}), top AS (SELECT chunk.* FROM chunk JOIN found USING (id) ORDER BY bm25, path, "offset", id LIMIT 60)
 SELECT path, min("offset")::BIGINT AS "offset", 1.0::DOUBLE AS score FROM top GROUP BY path ORDER BY path LIMIT 60""")
 def doc_group_max(spark, sf_dir):
-    rows = engine(spark, sf_dir).query("FROM doc USING lexical('with') LIMIT 60 SELECT score, doc.path").rows
+    rows = searcher(spark, sf_dir).query("FROM doc USING lexical('with') LIMIT 60 SELECT score, doc.path").rows
     return rows.select("doc.path", "chunk.offset", F.col("score").cast("double").alias("score"))
 
 
@@ -465,7 +637,7 @@ def snapshot_token(spark, sf_dir):
 
 
 def _packed(spark, sf_dir, budget: int, diversity: int | None = None) -> DataFrame:
-    rows = engine(spark, sf_dir).search("with", C.RETRIEVED, bm25=True).rows
+    rows = searcher(spark, sf_dir).search("with", C.RETRIEVED, bm25=True).rows
     return C.pack(ranked(rows), budget, diversity)
 
 
@@ -497,11 +669,61 @@ def context_truncate(spark, sf_dir):
     return _pack_columns(_packed(spark, sf_dir, 100))
 
 
+@register(_pack_sql(1200).replace("SELECT rank::BIGINT AS rank, path,", "SELECT string_agg(CASE WHEN tokens <= room THEN text ELSE array_to_string(list_slice(string_split(text, ' '), 1, room::BIGINT), ' ') END, chr(10) || chr(10) ORDER BY rank) AS text, sum(least(tokens, room))::BIGINT AS used_tokens, count(*)::BIGINT AS parts --"))
+def context_render(spark, sf_dir):
+    return C.render(_packed(spark, sf_dir, 1200)).select("text", F.col("used_tokens").cast("long").alias("used_tokens"), F.size("chunks").cast("long").alias("parts"))
+
+
+@register(_fused_sql(100) + """, r AS (SELECT chunk.*, row_number() OVER (ORDER BY fused.score DESC, path, "offset", chunk.id) AS rank FROM fused JOIN chunk USING (id) QUALIFY rank <= 100),
+  p AS (SELECT *, 1200 - coalesce(sum(tokens) OVER (ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS room FROM r)
+SELECT rank::BIGINT AS rank, path, "offset"::BIGINT AS "offset", least(tokens, room)::BIGINT AS tokens, CASE WHEN tokens <= room THEN text ELSE array_to_string(list_slice(string_split(text, ' '), 1, room::BIGINT), ' ') END AS text FROM p WHERE room > 0""")
+def context_hybrid(spark, sf_dir):
+    return _pack_columns(searcher(spark, sf_dir).packed("with OR was", 1200))
+
+
+# the store
+
+
+def _filled(spark, sf_dir, gone: bool) -> ST.Store:
+    """A new store with all documents; with ``gone``, every seventh is removed again."""
+    store = ST.Store.create(spark, _folder(spark), HashEmbedder(16))
+    d = docs(spark, sf_dir)
+    store.upsert(d.withColumn("parser", F.lit("plain")), Config(embedding_dim=16))
+    if gone:
+        store.remove([r["id"] for r in d.where(F.col("n") % 7 == 0).select("id").collect()])
+    return store
+
+
+@register(f"WITH {DOC_SQL} SELECT id, path, n % 7 = 0 AS deleted FROM doc")
+def store_rm(spark, sf_dir):
+    return _filled(spark, sf_dir, True).corpus().doc.select("id", "path", "deleted")
+
+
+@register(f"""WITH {CHUNK_SQL} SELECT chunk.id, chunk."offset"::BIGINT AS "offset", tokens::BIGINT AS tokens, false AS deleted FROM chunk JOIN doc ON doc.id = chunk.doc_id WHERE n % 7 <> 0""")
+def store_compact(spark, sf_dir):
+    store = _filled(spark, sf_dir, True)
+    store.compact()
+    return store.corpus().chunk.select("id", "offset", "tokens", "deleted")
+
+
+@register(f"""WITH {CHUNK_SQL} SELECT (SELECT count(*) FROM doc)::BIGINT AS docs, count(*)::BIGINT AS chunks, sum(tokens)::BIGINT AS tokens, (SELECT max(mtime) FROM doc) AS snapshot, true AS has_bytes FROM chunk""")
+def store_stats(spark, sf_dir):
+    s = ST.Store.open(spark, _filled(spark, sf_dir, False).path, HashEmbedder(16)).stats()
+    return spark.createDataFrame([(s["docs"], s["chunks"], s["tokens"], s["snapshot"], s["bytes"] > 0)], "docs long, chunks long, tokens long, snapshot string, has_bytes boolean")
+
+
+@register(f"""WITH {CHUNK_SQL}, bad AS (SELECT chunk.* FROM chunk JOIN doc ON doc.id = chunk.doc_id WHERE n % 5 = 0) SELECT count(*)::VARCHAR || ' chunks without a vector' AS problem FROM bad""")
+def store_doctor(spark, sf_dir):
+    store = _filled(spark, sf_dir, False)
+    c = store.corpus()
+    bad = c.doc.where(F.substring("path", -5, 1).isin("0", "5")).select(F.col("id").alias("bad"))
+    store.replace(c.doc, c.chunk.join(bad, F.col("doc_id") == F.col("bad"), "left").withColumn("embedding", F.when(F.col("bad").isNull(), F.col("embedding"))).drop("bad"))
+    return spark.createDataFrame([(x,) for x in store.doctor()], "problem string")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hybrid search over hashed vectors, packed into a context."""
-    d = docs(spark, sf_dir)
-    c = Corpus(d.select(*DOC.fieldNames()), CH.chunk_documents(d, SIZE, OVERLAP, HashEmbedder(256)))
-    return _pack_columns(Engine(c).packed("with OR was", 1200))
+    return _pack_columns(searcher(spark, sf_dir).packed("with OR was", 1200))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

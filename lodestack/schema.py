@@ -5,6 +5,7 @@ from __future__ import annotations
 import tomllib
 from dataclasses import dataclass, fields, replace
 from pathlib import Path
+from typing import Any
 
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
@@ -91,7 +92,8 @@ def find_store(start: str | Path, name: str) -> Path | None:
 
 @dataclass(frozen=True)
 class Corpus:
-    """The two tables that queries run over."""
+    """The two tables that queries run over, and the index of the second if there is one."""
 
     doc: DataFrame
     chunk: DataFrame
+    index: Any = None

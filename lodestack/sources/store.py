@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.vectors import Embedder
+from ..operators import postings as PT
 from ..operators.chunking import chunk_documents
 from ..schema import CHUNK, DOC, SCHEMA_VERSION, Config, Corpus, StoreError
 from . import files as FS
@@ -93,7 +94,7 @@ class Store:
         root = self.path / f"v{version}"
         shutil.rmtree(root, ignore_errors=True)  # of a writer that was lost
         doc.select(*DOC.fieldNames()).write.parquet(str(root / "doc"))
-        chunk.select(*CHUNK.fieldNames()).write.parquet(str(root / "chunk"))
+        PT.write(chunk, str(root / "chunk"))
         fresh = self.manifest_file.with_suffix(".new")
         fresh.write_text(json.dumps({"schema_version": SCHEMA_VERSION, "embedding": self.embedder.name, "embedding_dim": self.embedder.dim, "version": version}))
         os.replace(fresh, self.manifest_file)
@@ -103,7 +104,8 @@ class Store:
 
     def corpus(self) -> Corpus:
         root = self.path / f"v{self.manifest()['version']}"
-        return Corpus(self.spark.read.schema(DOC).parquet(str(root / "doc")), self.spark.read.schema(CHUNK).parquet(str(root / "chunk")))
+        index = PT.read(self.spark, str(root / "chunk"))
+        return Corpus(self.spark.read.schema(DOC).parquet(str(root / "doc")), index.rows.drop("n"), index)
 
     # changes
 

@@ -4,8 +4,8 @@ From labelled text of each language, a suffix automaton is built. A text is cut
 in a language's labelled text (plus one unseen letter, where no piece starts); the fewer pieces, the better the language
 explains the text. Piece counts are normalised by the entropy that each language's sample allows for, and the language with
 the fewest normalised pieces wins. All texts of a batch are parsed in step with NumPy: one transition per character, texts
-and languages side by side. Long texts are parsed as consecutive stretches, which adds at most one piece per stretch to every
-language alike; every character of every text is parsed.
+and languages side by side. Long texts are cut into stretches that are parsed in step as well; one that isn't begun as it should
+be is mended up to the place where both parses agree, so the result is that of one parse of the whole text.
 """
 
 from __future__ import annotations
@@ -23,8 +23,8 @@ from .common import map_text, text_bytes
 #: Labelled documents for each language at most, and characters kept of their normalised text at most.
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 24_000
-#: Characters of a stretch that is parsed on its own.
-STRETCH = 256
+#: Characters of a stretch, and stretches that are parsed in step.
+STRETCH, STRETCHES = 256, 4096
 SCHEMA = "lang_pred string, score double"
 
 
@@ -126,33 +126,82 @@ class Parser:
         self.norm = np.array([np.log(max(3, len(text[lang]))) for lang in self.langs])
 
     def pieces(self, codes: np.ndarray, first: np.ndarray, stretch: int = STRETCH) -> np.ndarray:
-        """Pieces of each text in each language's text: texts x languages."""
+        """Pieces of each text in each language's text: texts x languages. ``stretch`` and ``STRETCHES`` only say how much is
+        parsed in step."""
         n, langs = len(first) - 1, len(self.langs)
-        size = np.diff(first)
-        parts = -(-size // stretch)
+        parts = -(-np.diff(first) // stretch)
         owner = np.repeat(np.arange(n), parts)
         number = np.arange(len(owner)) - np.repeat(np.cumsum(parts) - parts, parts)
         begin = first[owner] + number * stretch
         length = np.minimum(stretch, first[owner + 1] - begin)
+        ends = number == parts[owner] - 1
+        out, carry = np.zeros((n, langs)), self.roots
+        for low in range(0, len(owner), STRETCHES):
+            own = slice(low, low + STRETCHES)
+            count, state = self._stretches(codes, begin[own], length[own], number[own] > 0, carry)
+            carry = state[:, -1]
+            count = count + ((state != self.roots[:, None]) & ends[own])  # the piece that is still open
+            for j in range(langs):
+                out[:, j] += np.bincount(owner[own], weights=count[j], minlength=n)
+        return out
+
+    def _stretches(self, codes: np.ndarray, begin: np.ndarray, length: np.ndarray, follows: np.ndarray, carry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pieces that end in each stretch, and the states in which it is left: languages x stretches. A stretch that follows
+        another begins in the state in which that is left, the first one in ``carry``.
+
+        All are parsed as if they began a text, and those that begin in another state are parsed again, up to the place where
+        both parses are in one state, from which on they are the same."""
+        langs, size, most = len(self.langs), len(begin), int(length.max(initial=0))
         order = np.argsort(-length, kind="stable")
-        begin, length, owner = begin[order], length[order], owner[order]
-        state = np.tile(self.roots[:, None], (1, len(owner)))
-        count = np.zeros((langs, len(owner)), np.int32)
-        live = np.searchsorted(-length, -np.arange(1, stretch + 1), "right")
-        for k in range(int(length[0]) if len(length) else 0):
+        at, longest = begin[order], length[order]
+        roots = self.roots[:, None]
+        state = np.tile(roots, (1, size))
+        count = np.zeros((langs, size), np.int32)
+        states = np.zeros((most, langs, size), np.int32)
+        stops = np.zeros((most, langs, size), dtype=bool)
+        live = np.searchsorted(-longest, -np.arange(1, most + 1), "right")
+        for k in range(most):
             m = int(live[k])
-            c = codes[begin[:m] + k].astype(np.int32)
-            now = state[:, :m]
-            to = self.step[now + c]
+            c = codes[at[:m] + k].astype(np.int32)
+            to = self.step[state[:, :m] + c]
             stop = to == 0
             count[:, :m] += stop
-            again = self.step[self.roots[:, None] + c]
-            state[:, :m] = np.where(stop, np.where(again == 0, self.roots[:, None], again), to)
-        count += state != self.roots[:, None]  # the piece that is still open
-        out = np.zeros((n, langs))
-        for j in range(langs):
-            out[:, j] = np.bincount(owner, weights=count[j], minlength=n)
-        return out
+            again = self.step[roots + c]
+            state[:, :m] = np.where(stop, np.where(again == 0, roots, again), to)
+            states[k, :, :m], stops[k, :, :m] = state[:, :m], stop
+        place = np.empty(size, np.int64)
+        place[order] = np.arange(size)
+        begun = np.tile(roots, (1, size))  # the state in which each was begun, in order of the text
+        while True:
+            want = begun.copy()
+            left = state[:, place]
+            want[:, 1:] = np.where(follows[1:], left[:, :-1], begun[:, 1:])
+            if size and follows[0]:
+                want[:, 0] = carry
+            lang, col = np.nonzero(want != begun)
+            if not len(lang):
+                return count[:, place], left
+            now, begun, col = want[lang, col], want, place[col]
+            new, old = np.zeros(len(lang), np.int32), np.zeros(len(lang), np.int32)
+            for k in range(most):
+                c = codes[at[col] + k].astype(np.int32)
+                root = self.roots[lang]
+                to = self.step[now + c]
+                stop = to == 0
+                again = self.step[root + c]
+                now = np.where(stop, np.where(again == 0, root, again), to)
+                new += stop
+                old += stops[k, lang, col]
+                met = now == states[k, lang, col]
+                states[k, lang, col], stops[k, lang, col] = now, stop
+                over = met | (longest[col] == k + 1)
+                if over.any():
+                    count[lang[over], col[over]] += new[over] - old[over]
+                    last = over & ~met
+                    state[lang[last], col[last]] = now[last]
+                    lang, col, now, new, old = lang[~over], col[~over], now[~over], new[~over], old[~over]
+                    if not len(lang):
+                        break
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         codes, first = self.alphabet.codes(data, offsets)
@@ -181,23 +230,34 @@ def normal(text: str) -> str:
 
 def learn(df: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", docs: int = SAMPLE_DOCS, chars: int = SAMPLE_CHARS) -> Parser:
     """The parser of a bounded sample: of the rows that are ``usable`` and have a label and text, ``docs`` per language in
-    order of a hash of the id; of their normalised text, joined in that order, ``chars`` characters per language.
+    order of a hash of the id; of their normalised text, joined in that order, ``chars`` characters per language. Documents
+    share these evenly: what short ones leave goes to the others, so no long one stands for its language.
 
-    The sample is chosen without its text; then only its rows' texts come to the driver. The number of languages is taken
-    to be that of a language inventory (thousands at most).
+    The sample is chosen without its text; then only its rows' texts come to the driver, ``4 * chars`` characters of each at
+    most, and of rows with one id and label the least text. The number of languages is taken to be that of a language
+    inventory (thousands at most).
     """
     order = F.xxhash64(df[id_col].cast("string"))
     labelled = df.where(usable & df[lang_col].isNotNull() & df[text_col].isNotNull() & (F.length(df[text_col]) > 0))
     chosen = labelled.select(df[id_col].alias("id"), df[lang_col].cast("string").alias("lang"), order.alias("o"))
     chosen = chosen.withColumn("n", F.row_number().over(W.partitionBy("lang").orderBy("o", "id"))).where(F.col("n") <= docs)
     ids = [r["id"] for r in chosen.select("id").collect()]
-    rows = labelled.where(df[id_col].isin(ids)).select(df[lang_col].cast("string").alias("lang"), order.alias("o"), df[id_col].alias("id"), df[text_col].cast("string").alias("text")).collect() if ids else []
+    named = labelled.where(df[id_col].isin(ids)).select(df[lang_col].cast("string").alias("lang"), order.alias("o"), df[id_col].alias("id"), F.substring(df[text_col].cast("string"), 1, 4 * chars).alias("text"))
+    rows = named.groupBy("lang", "o", "id").agg(F.min("text").alias("text")).collect() if ids else []
     samples: dict[str, list[str]] = {}
-    for r in sorted(rows, key=lambda r: (r["o"], str(r["id"]), r["text"])):
-        own = samples.setdefault(r["lang"], [])
-        if sum(map(len, own)) < chars and (text := normal(r["text"])):
-            own.append(text)
-    return Parser({k: " ".join(v)[:chars] for k, v in samples.items() if v})
+    for r in sorted(rows, key=lambda r: (r["o"], str(r["id"]))):
+        if text := normal(r["text"]):
+            samples.setdefault(r["lang"], []).append(text)
+    return Parser({k: " ".join(shared_out(v, chars)) for k, v in samples.items()})
+
+
+def shared_out(texts: list[str], chars: int) -> list[str]:
+    """The beginnings of texts so that they and the spaces between them have at most ``chars`` characters, as even as can be."""
+    left, share, size = chars - len(texts) + 1, {}, sorted(range(len(texts)), key=lambda k: len(texts[k]))
+    for done, k in enumerate(size):
+        share[k] = min(len(texts[k]), max(0, left) // (len(size) - done))
+        left -= share[k]
+    return [text[: share[k]] for k, text in enumerate(texts) if share[k]]
 
 
 def _worker(shared) -> Callable:

@@ -289,6 +289,26 @@ def test_pieces_against_a_loop():
             assert got[r, j] == greedy_pieces(t, samples[lang]), (t, lang)
 
 
+def test_pieces_of_long_texts_are_those_of_one_parse(monkeypatch):
+    import random
+
+    rng = random.Random(12)
+    words = ["the", "cat", "sat", "on", "mat", "der", "hund", "katze", "und", "zz", "q"]
+    samples = {k: " ".join(rng.choice(words[i : i + 7]) for _ in range(120)) for i, k in enumerate("abc")}
+    p = language.Parser(samples)
+    texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (0, 1, 3, 40, 400, 900, 77)] + ["the cat " * 300, "thecatsaton" * 90]
+    codes, first = p.alphabet.codes(*language.text_bytes(pa.array(texts)))
+    want = [[greedy_pieces(t, language.normal(samples[k])) for k in p.langs] for t in texts]
+    for stretch, most in ((language.STRETCH, language.STRETCHES), (7, 5), (3, 1), (10_000, 9)):
+        monkeypatch.setattr(language, "STRETCHES", most)
+        assert p.pieces(codes, first, stretch).tolist() == want, stretch
+
+
+def test_language_sample_is_shared_out():
+    assert language.shared_out(["a" * 100, "b" * 3, "c" * 100], 25) == ["a" * 10, "b" * 3, "c" * 10]
+    assert language.shared_out(["abc"], 2) == ["ab"] and language.shared_out([], 5) == [] and language.shared_out(["a", "b"], 9) == ["a", "b"]
+
+
 def test_languages_held_out(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     got = registry.op4_language_id(spark, SF).join(docs.select("doc_id", "lang"), "doc_id").collect()

@@ -16,12 +16,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, map_text, mix, row_slices, text_bytes
+from .common import distinct, map_text, mix, release, row_slices, text_bytes
 
 #: n-gram sizes, bits of their hash, and the sample that is learned from: rows of each label at most.
 SIZES = (3, 4, 5, 6)
 BITS = 20
 SAMPLE_TOXIC, SAMPLE_OTHER = 1500, 2500
+#: Characters of a text that are learned from at most.
+SAMPLE_CHARS = 50_000
 SCHEMA = "score double"
 
 _fold: np.ndarray | None = None
@@ -137,18 +139,23 @@ def fit(texts: list[str], labels: np.ndarray, prior: float, penalty: float = 2e-
     return Model(weights.astype(np.float32), float(bias + base - np.log(n_toxic / n_other)))
 
 
-def learn(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER) -> Model:
+def learn(df: DataFrame, labels: DataFrame, usable: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, other: int = SAMPLE_OTHER, chars: int = SAMPLE_CHARS) -> Model:
     """The model of a bounded sample of labelled rows: at most ``toxic`` and ``other`` rows of either label, in order of a
     hash of the id, among ``labels`` rows that are ``usable`` and have a label. The share of toxic ones is counted over all
-    of them. A row whose text is null counts as an empty text."""
+    of them. A row whose text is null counts as an empty text; of a text, ``chars`` characters are learned from, and of rows
+    with one id the least text, so what comes to the driver has a bound."""
     known = labels.where(usable & labels[label_col].isNotNull()).select(labels[id_col].alias("id"), (labels[label_col] > 0).cast("int").alias("y"))
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     ordered = known.orderBy(F.xxhash64(F.col("id").cast("string")), "id")
     chosen = {r["id"]: r["y"] for y, most in ((1, toxic), (0, other)) for r in ordered.where(F.col("y") == y).limit(most).collect()}
-    rows = df.where(df[id_col].isin(list(chosen))).select(df[id_col].alias("id"), df[text_col].cast("string").alias("text")).collect() if chosen else []
-    rows.sort(key=lambda r: (r["id"], r["text"] or ""))
+    named = df.where(df[id_col].isin(list(chosen))).select(df[id_col].alias("id"), F.substring(F.coalesce(df[text_col].cast("string"), F.lit("")), 1, chars).alias("text"))
+    rows = named.groupBy("id").agg(F.min("text").alias("text")).collect() if chosen else []
+    rows.sort(key=lambda r: r["id"])
     total = sum(sizes.values())
-    return fit([r["text"] or "" for r in rows], np.array([chosen[r["id"]] for r in rows], float), sizes.get(1, 0) / total if total else 0.0)
+    model = fit([r["text"] for r in rows], np.array([chosen[r["id"]] for r in rows], float), sizes.get(1, 0) / total if total else 0.0)
+    del rows
+    release()
+    return model
 
 
 def _worker(shared):

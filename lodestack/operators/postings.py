@@ -8,7 +8,6 @@ the pages of these words only, by the statistics of the files. The text of chunk
 from __future__ import annotations
 
 import functools
-import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -34,6 +33,7 @@ class Index:
     rows: DataFrame
     count: int
     average: float
+    gone: DataFrame | None = None  # numbers that postings have and ``rows`` no longer has
 
 
 def _head(term: str) -> str:
@@ -65,23 +65,36 @@ def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def write(chunk: DataFrame, path: str) -> None:
-    """The index of a chunk table, as the folders ``rows``, ``postings`` and ``stats`` below ``path``."""
+ROWS = T.StructType([*CHUNK.fields, T.StructField("n", T.LongType()), T.StructField("length", T.IntegerType())])
+
+
+def write(chunk: DataFrame, path: str, base: int = 0) -> tuple[int, int]:
+    """The index of a chunk table, as the folders ``rows`` and ``postings`` below ``path``; its chunks and their terms.
+
+    Numbers count on from ``base``, of 2**50 each; they follow the files that rows are written to, so a look-up of few numbers
+    skips most files."""
     spark = chunk.sparkSession
-    # numbers follow the files that rows are written to, so a look-up of few numbers skips most of them
-    chunk.select(*CHUNK.fieldNames(), F.monotonically_increasing_id().alias("n")).write.parquet(f"{path}/rows")
-    rows = spark.read.parquet(f"{path}/rows")
+    number = F.monotonically_increasing_id() + F.lit(base << 50)
+    chunk.select(*CHUNK.fieldNames(), number.alias("n"), F.size("terms").alias("length")).write.parquet(f"{path}/rows")
+    rows = spark.read.schema(ROWS).parquet(f"{path}/rows")
     inverted = rows.select("n", "terms").mapInArrow(_invert, POSTINGS)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     inverted.repartitionByRange(parts, "head", "term", "n").sortWithinPartitions("head", "term", "n").write.partitionBy("head").parquet(f"{path}/postings")
-    rows.agg(F.count("*").alias("count"), F.coalesce(F.avg(F.size("terms")), F.lit(0.0)).alias("average")).coalesce(1).write.json(f"{path}/stats")
+    found = rows.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
+    return found[0], found[1]
+
+
+def read_rows(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(ROWS).parquet(f"{path}/rows")
+
+
+def read_postings(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(POSTINGS.replace("head string, ", "") + ", head string").parquet(f"{path}/postings")
 
 
-def read(spark: SparkSession, path: str) -> Index:
-    """The index below ``path``."""
-    stats = json.loads(spark.read.text(f"{path}/stats").first()[0])
-    postings = spark.read.schema(POSTINGS.replace("head string, ", "") + ", head string").parquet(f"{path}/postings")
-    return Index(postings, spark.read.schema(T.StructType([*CHUNK.fields, T.StructField("n", T.LongType())])).parquet(f"{path}/rows"), stats["count"], stats["average"])
+def read(spark: SparkSession, path: str, count: int, terms: int) -> Index:
+    """The index below ``path``, with what ``write`` returned."""
+    return Index(read_postings(spark, path), read_rows(spark, path), count, terms / count if count else 0.0)
 
 
 class Places(FT.Terms):
@@ -127,6 +140,8 @@ def hits(index: Index, node: FT.Node) -> tuple[DataFrame, Places]:
         return none, Places({}, F.col("length"))
     same = lambda t, prefix: F.col("term").startswith(t) if prefix else F.col("term") == t
     rows = index.postings.where(F.col("head").isin(sorted({_head(t) for t, _ in asked}))).where(functools.reduce(lambda a, b: a | b, [same(t, prefix) for t, prefix in asked]))
+    if index.gone is not None:
+        rows = rows.join(index.gone, "n", "left_anti")
     if len(asked) == 1 and not asked[0][1]:  # a chunk has one row of a word
         return rows.select("n", "length", F.col("places").alias("w0")), Places({asked[0]: F.col("w0")}, F.col("length"))
     none = F.expr("cast(array() as array<int>)")

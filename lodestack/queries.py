@@ -97,9 +97,8 @@ def ingested(spark: SparkSession, sf_dir: str) -> Corpus:
         d, path = docs(spark, sf_dir), _folder(spark)
         fresh = Corpus(d.select(*DOC.fieldNames()), CH.chunk_documents(d, SIZE, OVERLAP, HashEmbedder(256)))
         fresh.doc.write.parquet(f"{path}/doc")
-        PT.write(fresh.chunk, f"{path}/chunk")
-        index = PT.read(spark, f"{path}/chunk")
-        _INGESTED[key] = Corpus(spark.read.schema(DOC).parquet(f"{path}/doc"), index.rows.drop("n"), index)
+        index = PT.read(spark, f"{path}/chunk", *PT.write(fresh.chunk, f"{path}/chunk"))
+        _INGESTED[key] = Corpus(spark.read.schema(DOC).parquet(f"{path}/doc"), index.rows.drop("n", "length"), index)
     return _INGESTED[key]
 
 
@@ -162,7 +161,7 @@ def upsert_tombstone(spark, sf_dir):
     d = docs(spark, sf_dir)
     new = d.where(F.col("n") % 4 == 0).withColumn("hash", X.content_hash(F.concat("text", F.lit(" more")))).withColumn("id", X.doc_id(F.col("path"), F.col("hash")))
     rows = d.select(*DOC.fieldNames())
-    return ST.tombstoned(rows, new).unionByName(new.select(*DOC.fieldNames())).select("id", "path", "deleted")
+    return ST.marked(rows, ST.marks(rows, new)).unionByName(new.select(*DOC.fieldNames())).select("id", "path", "deleted")
 
 
 @register(f"""WITH {DOC_SQL} SELECT id, path, mtime, size::BIGINT AS size, hash, tag, source, meta FROM doc""")

@@ -29,10 +29,9 @@ def both(spark, tmp_path_factory):
     d = d.repartition(3).cache()
     chunk = CH.chunk_documents(d, 16, 4).cache()
     path = str(tmp_path_factory.mktemp("index"))
-    PT.write(chunk, path)
     doc = d.select(*DOC.fieldNames())
-    index = PT.read(spark, path)
-    return Corpus(doc, chunk), Corpus(doc, index.rows.drop("n"), index)
+    index = PT.read(spark, path, *PT.write(chunk, path))
+    return Corpus(doc, chunk), Corpus(doc, index.rows.drop("n", "length"), index)
 
 
 def answer(rows):
@@ -69,6 +68,5 @@ def test_a_search_reads_no_text_of_other_rows(both):
 
 
 def test_an_empty_index(spark, tmp_path, both):
-    PT.write(both[0].chunk.limit(0), str(tmp_path / "none"))
-    index = PT.read(spark, str(tmp_path / "none"))
+    index = PT.read(spark, str(tmp_path / "none"), *PT.write(both[0].chunk.limit(0), str(tmp_path / "none")))
     assert index.count == 0 and PT.search(index, FT.parse("ka")).count() == 0

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as X
@@ -14,47 +17,71 @@ def lines(text: Column) -> Column:
     return F.split(F.regexp_replace(F.regexp_replace(text, r"\r\n", "\n"), r"\n\z", ""), "\n")
 
 
-def block_lines(docs: DataFrame, key: str = "id", text: str = "text", parser: str = "parser") -> DataFrame:
-    """One row per line: key, parser, number ``n``, ``line``, and the ``block`` it is in.
+_SPACE = r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
+_BLANK, _INDENT, _WORD = re.compile(rf"{_SPACE}*\Z"), re.compile(rf"{_SPACE}*(?:fn|def|class|struct|enum|impl|interface) "), re.compile(_SPACE.replace("[", "[^") + "+")
+
+
+def cut_blocks(text: str, parser: str) -> list[list[str]]:
+    """Lines of each block of a text.
 
     A Markdown block begins at a heading outside a code fence, at an opening fence and after a closing one. A code block
     begins at a line with a definition and after a blank line, which belongs to none. A plain text is one block.
     """
-    rows = docs.where(F.col(parser) != "plain").select(F.col(key).alias("key"), F.col(parser).alias("parser"), F.posexplode(lines(F.col(text))).alias("n", "line"))
-    w = W.partitionBy("key").orderBy("n")
-    so_far = w.rowsBetween(W.unboundedPreceding, 0)
-    markdown = F.col("parser") == "markdown"
-    fence = F.col("line").startswith("```")
-    rows = rows.withColumn("fences", F.sum(F.when(markdown & fence, 1).otherwise(0)).over(so_far))
-    opens, closes = fence & (F.col("fences") % 2 == 1), fence & (F.col("fences") % 2 == 0)
-    heading = F.col("line").startswith("#") & ~fence & (F.col("fences") % 2 == 0)
-    blank = F.trim(F.regexp_replace("line", r"(?U)\s", " ")) == ""
-    defines = F.regexp_replace("line", r"(?U)\A\s+", "").rlike(r"\A(fn|def|class|struct|enum|impl|interface) ")
-    cut = F.when(markdown, opens | heading | F.coalesce(F.lag(closes).over(w), F.lit(False))).otherwise(defines | F.coalesce(F.lag(blank).over(w), F.lit(False)))
-    return rows.withColumn("block", F.sum(cut.cast("int")).over(so_far)).where(markdown | ~blank).select("key", "parser", "n", "line", "block")
+    if parser == "plain":
+        return [[text]]
+    own = text.replace("\r\n", "\n").removesuffix("\n").split("\n")
+    out: list[list[str]] = [[]]
+    if parser == "markdown":
+        inside = closed = False
+        for line in own:
+            fence = line.startswith("```")
+            if closed or (fence and not inside) or (line.startswith("#") and not fence and not inside):
+                out.append([])
+            closed = fence and inside
+            inside ^= fence
+            out[-1].append(line)
+    else:
+        after_blank = False
+        for line in own:
+            blank = _BLANK.match(line) is not None
+            if after_blank or _INDENT.match(line):
+                out.append([])
+            if not blank:
+                out[-1].append(line)
+            after_blank = blank
+    return out
+
+
+def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, parser, text) to (key, block, base, words): base is the number of the document's tokens before the block."""
+    for batch in batches:
+        keys, out = batch.column(0), ([], [], [], [])
+        for row, (parser, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+            base = 0
+            for k, own in enumerate(cut_blocks(text, parser)):
+                words = _WORD.findall("\n".join(own))
+                if words:
+                    for x, value in zip(out, (row, k, base, words)):
+                        x.append(value)
+                base += len(words)
+        yield pa.RecordBatch.from_arrays([keys.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.string()))], names=["key", "block", "base", "words"])
 
 
 def blocks(docs: DataFrame, key: str = "id", text: str = "text", parser: str = "parser") -> DataFrame:
-    """One row per block: key, block (in order) and its tokens. Plain texts never leave their row, so they aren't shuffled."""
-    plain = docs.where(F.col(parser) == "plain").select(F.col(key).alias("key"), F.lit(0).cast("long").alias("block"), X.tokens(F.col(text)).alias("words"))
-    cut = block_lines(docs, key, text, parser).groupBy("key", "block").agg(F.array_sort(F.collect_list(F.struct("n", "line"))).alias("own"))
-    cut = cut.select("key", F.col("block").cast("long"), X.tokens(F.array_join(F.transform("own", lambda x: x["line"]), "\n")).alias("words"))
-    return plain.unionByName(cut)
+    """One row per block with tokens: key, block (in order), tokens of the document before it, and its own. No row leaves its
+    task: lines of a text are numbered where they are, not by a shuffle."""
+    plain = docs.where(F.col(parser) == "plain").select(F.col(key).alias("key"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("base"), X.tokens(F.col(text)).alias("words"))
+    cut = docs.where((F.col(parser) != "plain") & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(parser).alias("parser"), F.col(text).alias("text"))
+    return plain.unionByName(cut.mapInArrow(_split, f"key {cut.schema['key'].dataType.simpleString()}, block long, base long, words array<string>"))
 
 
-def chunks(found: DataFrame, size: int, overlap: int, plain: bool = False) -> DataFrame:
-    """One row per chunk of blocks: doc_id, offset (in tokens of the document, without overlaps), tokens, text.
+def chunks(found: DataFrame, size: int, overlap: int) -> DataFrame:
+    """One row per chunk of ``blocks``: doc_id, offset (in tokens of the document, without overlaps), tokens, text.
 
-    Blocks without tokens give none, and chunks never span blocks. With ``plain``, every key has one block, so that offsets
-    need no window.
+    Blocks without tokens give none, and chunks never span blocks.
     """
     overlap = min(overlap, size - 1)
     found = found.withColumn("n", F.size("words")).where(F.col("n") > 0)
-    if plain:
-        found = found.withColumn("base", F.lit(0).cast("long"))
-    else:
-        before = W.partitionBy("key").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
-        found = found.withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0).cast("long")))
     start = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - overlap - 1), F.lit(size - overlap)))
     cut = found.select("key", "base", "words", start.alias("start")).withColumn("own", F.slice("words", F.col("start") + 1, size))
     return cut.select(F.col("key").alias("doc_id"), (F.col("base") + F.col("start")).alias("offset"), F.size("own").cast("long").alias("tokens"), F.array_join("own", " ").alias("text"))
@@ -69,8 +96,8 @@ def finish_chunks(cut: DataFrame, embedder=None) -> DataFrame:
 def chunk_documents(docs: DataFrame, size: int, overlap: int, embedder=None, key: str = "id", text: str = "text", parser: str | None = None) -> DataFrame:
     """The chunk table of documents; ``parser`` names the column that tells how each is cut, else all are plain."""
     if parser is None:
-        found = docs.select(F.col(key).alias("key"), F.lit(0).cast("long").alias("block"), X.tokens(F.col(text)).alias("words"))
-        return finish_chunks(chunks(found, size, overlap, plain=True), embedder)
+        found = docs.select(F.col(key).alias("key"), F.lit(0).cast("long").alias("base"), X.tokens(F.col(text)).alias("words"))
+        return finish_chunks(chunks(found, size, overlap), embedder)
     return finish_chunks(chunks(blocks(docs, key, text, parser), size, overlap), embedder)
 
 

@@ -48,6 +48,8 @@ class Result:
     explain: dict[str, Any] = field(default_factory=dict)
     warnings: list[str] = field(default_factory=list)
     fused: DataFrame | None = None
+    asked: dict[str, Any] = field(default_factory=dict)
+    lists: dict[str, DataFrame | None] = field(default_factory=dict)
 
     def hits(self, returned: int | None = None) -> int:
         """Rows of a search before they are grouped and paged; of a query without one, those that are returned."""
@@ -62,8 +64,11 @@ class Result:
     def json(self, explain: bool = False) -> dict[str, Any]:
         began = time.monotonic()
         found = self.rows.collect()
-        stats = {"returned": len(found), "total_hits": self.hits(len(found)), "took_ms": round(1000 * (time.monotonic() - began), 3)}
-        return output.envelope(results=[output.item(r, self.selection, explain) for r in found], stats=stats, warnings=self.warnings or None, explain=self.explain if explain else None)
+        hits = self.hits(len(found))
+        stats = {"returned": len(found), "total_hits": hits, "took_ms": int(1000 * (time.monotonic() - began)), "snapshot": self.asked.get("snapshot")}
+        limit, offset = self.asked.get("limit"), self.asked.get("offset", 0)
+        told = self.explain | {f"{k}_hits": t.count() for k, t in self.lists.items() if t is not None} if explain else None
+        return output.envelope(query=self.asked or None, results=[output.item(r, self.selection, explain) for r in found], stats=stats, explain=told, warnings=self.warnings or None, next_offset=offset + len(found) if limit and len(found) == limit else None)
 
 
 class Engine:
@@ -110,13 +115,15 @@ class Engine:
         rows = R.fuse(lex, sem, self.config.bm25_weight, self.config.vector_weight)
         if rows is None:
             rows = R._empty(corpus)
-        return Result(rows, R.select_fields(None), explain, warnings, rows)
+        explain["snapshot"] = snapshot
+        return Result(rows, R.select_fields(None), explain, warnings, rows, {}, {"lexical": lex, "semantic": sem})
 
-    def search(self, text: str, k: int = 10, bm25: bool = False, vector: bool = False, filter: str | None = None, snapshot: str | None = None, literal: bool = False, strict: bool = True) -> Result:
+    def search(self, text: str, k: int = 8, bm25: bool = False, vector: bool = False, filter: str | None = None, snapshot: str | None = None, literal: bool = False, strict: bool = True) -> Result:
         """The ``k`` best chunks: by full text with ``bm25``, by vectors with ``vector``, by both with neither or both."""
         where = parse_filter(at_file(filter), strict) if filter else None
         found = self._search(text if bm25 or not vector else None, text if vector or not bm25 else None, k, where, snapshot_token(snapshot), literal)
         found.rows = R.page(R.reorder(found.rows, None, "chunk"), k)
+        found.asked = {"text": text, "filters": filter, "limit": k, "offset": 0, "lexical_mode": "literal" if literal else "syntax", "snapshot": snapshot}
         return found
 
     def query(self, source: str | Query, snapshot: str | None = None, literal: bool = False, strict: bool = True) -> Result:
@@ -124,14 +131,15 @@ class Engine:
         q = parse_query(at_file(source), strict) if isinstance(source, str) else source
         snapshot = snapshot_token(snapshot)
         chosen = R.select_fields(q.select, q.table)
+        asked = {"query": source if isinstance(source, str) else None, "offset": q.offset, "lexical_mode": "literal" if literal else "syntax", "snapshot": snapshot}
         if not q.using:
-            return Result(R.structured(self.corpus, q, snapshot), chosen, {"mode": "structured"})
+            return Result(R.structured(self.corpus, q, snapshot), chosen, {"mode": "structured", "snapshot": snapshot}, asked=asked | {"limit": R.DEFAULT_LIMIT if q.limit is None else q.limit})
         limit = self.config.max_limit if q.limit is None else q.limit
         found = self._search(q.lexical, q.semantic, limit + q.offset, q.filter, snapshot, literal)
         rows = R.page(R.reorder(found.rows, None, "chunk"), limit + q.offset)
         if q.table == "doc":
             rows = R.best_per_doc(rows)
-        found.rows, found.selection = R.page(R.reorder(rows, q.order, q.table), limit, q.offset), chosen
+        found.rows, found.selection, found.asked = R.page(R.reorder(rows, q.order, q.table), limit, q.offset), chosen, asked | {"limit": limit}
         return found
 
     def context(self, text: str, budget: int = C.BUDGET, diversity: int | None = None, filter: str | None = None, snapshot: str | None = None) -> DataFrame:

@@ -262,7 +262,7 @@ PLACE_SQL = """place AS (SELECT token, (v % 256)::INTEGER AS idx, CASE WHEN v >=
 @register(f"""WITH {DOC_SQL}, tok AS (SELECT n AS id, unnest({WORDS.format("text")}) AS token FROM doc), asked AS (SELECT 'x' AS token), {PLACE_SQL},
   vec AS (SELECT id, idx, sum(sign)::DOUBLE AS x FROM tok JOIN place USING (token) GROUP BY id, idx),
   unit AS (SELECT id, idx, (x / sqrt(sum(x * x) OVER (PARTITION BY id)))::FLOAT::DOUBLE AS x FROM vec WHERE x <> 0)
-SELECT n AS doc_id, coalesce(len(list(idx) FILTER (idx IS NOT NULL)), 0)::BIGINT AS n_places, round(coalesce(sum(x * (idx + 1)), 0), 2) AS checksum, round(coalesce(sum(abs(x)), 0), 2) AS total
+SELECT n AS doc_id, coalesce(len(list(idx) FILTER (idx IS NOT NULL)), 0)::BIGINT AS n_places, round(coalesce(sum(x * (idx + 1)), 0), 2) + 0.0 AS checksum, round(coalesce(sum(abs(x)), 0), 2) AS total
 FROM doc LEFT JOIN unit ON n = unit.id GROUP BY n""")
 def hash_vector(spark, sf_dir):
     v = docs(spark, sf_dir).select(F.col("n").alias("doc_id"), HashEmbedder(256).column(X.tokens(F.col("text"))).alias("v"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tomllib
 from dataclasses import dataclass, fields, replace
 from pathlib import Path
@@ -80,10 +81,31 @@ class Config:
             found = tomllib.load(f)
         if unknown := set(found) - {f.name for f in fields(cls)}:
             raise ValueError(f"unknown settings: {', '.join(sorted(unknown))}")
+        if "embedding" in found:
+            found["embedding"] = str(found["embedding"]).strip().lower()
         out = cls(**found)
         return replace(out, overlap_tokens=0) if out.overlap_tokens >= out.chunk_tokens else out
 
 
+def config_file() -> Path | None:
+    """The one file of settings: lodestack/lodestack.toml in the user's configuration folder."""
+    base = os.environ.get("XDG_CONFIG_HOME") or (os.path.join(os.environ["HOME"], ".config") if os.environ.get("HOME") else None)
+    return Path(base) / "lodestack" / "lodestack.toml" if base else None
+
+
+def discover(start: str | Path = ".") -> tuple[Config, Path]:
+    """The settings, and the store of a folder or of the nearest of its parents. A settings file beside the store is an error:
+    settings have one place."""
+    file = config_file()
+    config = Config.load(file) if file and file.exists() else Config()
+    store = Path(config.store_path) if Path(config.store_path).is_absolute() else find_store(start, config.store_path)
+    if store is None or not store.exists():
+        raise StoreError("there is no store here; make one with init")
+    if (store.parent / "lodestack.toml").exists():
+        raise StoreError(f"settings beside a store don't count; move {store.parent / 'lodestack.toml'} to {file}")
+    return config, store
+
+
 def find_store(start: str | Path, name: str) -> Path | None:
     """The store called ``name`` in a folder or the nearest of its parents."""
     here = Path(start).resolve()

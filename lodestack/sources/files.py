@@ -47,14 +47,16 @@ def unchanged(files: DataFrame, doc: DataFrame) -> DataFrame:
     return files.join(doc.where(~F.col("deleted")).select("path", "mtime"), ["path", "mtime"], "left_anti")
 
 
-def documents(files: DataFrame, tag: str | None = None, source: str | None = None, parser: str | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows of the doc table with ``text`` and ``parser``, paths of files that aren't text)."""
+def documents(files: DataFrame, tag: str | None = None, source: str | None = None, parser: str | None = None, meta: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(rows of the doc table with ``text`` and ``parser``, paths of files that aren't text); without ``meta``, metadata in
+    the texts isn't looked for."""
+    found = metadata(F.col("text")) if meta else F.lit(None).cast("string")
     good = F.is_valid_utf8(F.col("content").cast("string"))
     text = F.col("content").cast("string")
     rows = files.where(good).withColumn("text", text).withColumn("hash", X.content_hash(text))
     docs = rows.select(
         X.doc_id(F.col("path"), F.col("hash")).alias("id"), "path", "mtime", "size", "hash",
-        F.lit(tag).cast("string").alias("tag"), F.lit(source).cast("string").alias("source"), metadata(F.col("text")).alias("meta"), F.lit(False).alias("deleted"),
+        F.lit(tag).cast("string").alias("tag"), F.lit(source).cast("string").alias("source"), found.alias("meta"), F.lit(False).alias("deleted"),
         "text", X.parser_of(F.col("path"), parser).alias("parser"),
     )
     return docs, files.where(~good).select("path")

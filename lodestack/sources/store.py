@@ -11,6 +11,7 @@ from __future__ import annotations
 import functools
 import json
 import os
+import resource
 import socket
 import time
 import uuid
@@ -210,13 +211,13 @@ class Store:
             self._append(segments, number, new, (lost[0], lost[1]))
         return Added(n, chunks, ())
 
-    def add(self, paths: Sequence[str], config: Config, tag: str | None = None, source: str | None = None, parser: str | None = None, include: str | None = None, exclude: Sequence[str] = (), mtime_only: bool = False) -> Added:
+    def add(self, paths: Sequence[str], config: Config, tag: str | None = None, source: str | None = None, parser: str | None = None, include: str | None = None, exclude: Sequence[str] = (), mtime_only: bool = False, meta: bool = True) -> Added:
         """Ingest files. With ``mtime_only``, those whose path and time are known are skipped. Files that aren't text are
         skipped and named."""
         found = FS.scan(self.spark, paths, include, exclude)
         if mtime_only:
             found = FS.unchanged(found, self.corpus().doc)
-        docs, bad = FS.documents(found, tag, source, parser)
+        docs, bad = FS.documents(found, tag, source, parser, meta)
         done = self.upsert(docs, config)
         return Added(done.documents, done.chunks, tuple(sorted(r["path"] for r in bad.toLocalIterator())))
 
@@ -284,7 +285,12 @@ class Store:
         now = self.corpus()
         chunk = now.chunk.where(~F.col("deleted")).agg(F.count("*").alias("chunks"), F.coalesce(F.sum("tokens"), F.lit(0)).alias("tokens")).first()
         doc = now.doc.where(~F.col("deleted")).agg(F.count("*").alias("docs"), F.coalesce(F.max("mtime"), F.lit("")).alias("snapshot")).first()
-        return {"docs": doc["docs"], "chunks": chunk["chunks"], "tokens": chunk["tokens"], "snapshot": doc["snapshot"], "bytes": self.bytes()}
+        return {"docs": doc["docs"], "chunks": chunk["chunks"], "tokens": chunk["tokens"], "snapshot": doc["snapshot"], "bytes": self.bytes(), "parts": self._parts(), "memory": {"driver_rss_bytes": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss << 10}}
+
+    def _parts(self) -> dict[str, int]:
+        """Bytes of the tables and of the index."""
+        full = [s["number"] for s in self.manifest()["segments"] if s["rows"]]
+        return {name: sum(self.folder.bytes(f"s{n}/{where}") for n in full) for name, where in (("doc", "doc"), ("chunk", "chunk/rows"), ("postings", "chunk/postings"))}
 
     def bytes(self) -> int:
         return self.folder.bytes()

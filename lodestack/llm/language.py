@@ -23,8 +23,10 @@ from .common import map_text, text_bytes
 #: Labelled documents for each language at most, and characters kept of their normalised text at most.
 SAMPLE_DOCS = 64
 SAMPLE_CHARS = 24_000
-#: Characters of a stretch, and stretches that are parsed in step.
-STRETCH, STRETCHES = 256, 4096
+#: Stretches that are mended one by one, character by character, if there are no more.
+FEW = 32
+#: Characters of a stretch, and of the text before it that its parse begins with; stretches that are parsed in step.
+STRETCH, WARM, STRETCHES = 512, 64, 2048
 SCHEMA = "lang_pred string, score double"
 
 
@@ -138,24 +140,29 @@ class Parser:
         out, carry = np.zeros((n, langs)), self.roots
         for low in range(0, len(owner), STRETCHES):
             own = slice(low, low + STRETCHES)
-            count, state = self._stretches(codes, begin[own], length[own], number[own] > 0, carry)
+            count, state = self._stretches(codes, begin[own], length[own], number[own] > 0, carry, min(WARM, stretch))
             carry = state[:, -1]
             count = count + ((state != self.roots[:, None]) & ends[own])  # the piece that is still open
             for j in range(langs):
                 out[:, j] += np.bincount(owner[own], weights=count[j], minlength=n)
         return out
 
-    def _stretches(self, codes: np.ndarray, begin: np.ndarray, length: np.ndarray, follows: np.ndarray, carry: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _stretches(self, codes: np.ndarray, begin: np.ndarray, length: np.ndarray, follows: np.ndarray, carry: np.ndarray, warm: int) -> tuple[np.ndarray, np.ndarray]:
         """Pieces that end in each stretch, and the states in which it is left: languages x stretches. A stretch that follows
         another begins in the state in which that is left, the first one in ``carry``.
 
-        All are parsed as if they began a text, and those that begin in another state are parsed again, up to the place where
-        both parses are in one state, from which on they are the same."""
-        langs, size, most = len(self.langs), len(begin), int(length.max(initial=0))
-        order = np.argsort(-length, kind="stable")
-        at, longest = begin[order], length[order]
+        The parse of a stretch begins ``warm`` characters earlier, as if a text began there, which mostly leads to the state
+        it is to begin in. Those that begin in another are parsed again, up to the place where both parses are in one state,
+        from which on they are the same."""
+        langs, size = len(self.langs), len(begin)
+        early = np.where(follows, warm, 0)
+        order = np.argsort(-(length + early), kind="stable")
+        early = early[order]
+        at, longest = begin[order] - early, length[order] + early
+        most = int(longest.max(initial=0))
         roots = self.roots[:, None]
         state = np.tile(roots, (1, size))
+        begun = state.copy()  # the state in which each begins
         count = np.zeros((langs, size), np.int32)
         states = np.zeros((most, langs, size), np.int32)
         stops = np.zeros((most, langs, size), dtype=bool)
@@ -165,13 +172,15 @@ class Parser:
             c = codes[at[:m] + k].astype(np.int32)
             to = self.step[state[:, :m] + c]
             stop = to == 0
-            count[:, :m] += stop
             again = self.step[roots + c]
             state[:, :m] = np.where(stop, np.where(again == 0, roots, again), to)
+            count[:, :m] += stop & (k >= early[:m]) if k < warm else stop
             states[k, :, :m], stops[k, :, :m] = state[:, :m], stop
+            if k + 1 == warm:
+                begun = np.where(early > 0, state, begun)
         place = np.empty(size, np.int64)
         place[order] = np.arange(size)
-        begun = np.tile(roots, (1, size))  # the state in which each was begun, in order of the text
+        begun = begun[:, place]  # in order of the text
         while True:
             want = begun.copy()
             left = state[:, place]
@@ -182,8 +191,16 @@ class Parser:
             if not len(lang):
                 return count[:, place], left
             now, begun, col = want[lang, col], want, place[col]
+            k = early[col]
             new, old = np.zeros(len(lang), np.int32), np.zeros(len(lang), np.int32)
-            for k in range(most):
+            while len(lang):
+                if len(lang) <= FEW:
+                    for j, i, x, y, more in zip(lang.tolist(), col.tolist(), k.tolist(), now.tolist(), (new - old).tolist()):
+                        most_left, changed = self._again(codes[at[i] + x : at[i] + longest[i]], j, y, states[x:, j, i], stops[x:, j, i])
+                        count[j, i] += more + changed
+                        if most_left is not None:
+                            state[j, i] = most_left
+                    break
                 c = codes[at[col] + k].astype(np.int32)
                 root = self.roots[lang]
                 to = self.step[now + c]
@@ -194,14 +211,29 @@ class Parser:
                 old += stops[k, lang, col]
                 met = now == states[k, lang, col]
                 states[k, lang, col], stops[k, lang, col] = now, stop
-                over = met | (longest[col] == k + 1)
+                k = k + 1
+                over = met | (longest[col] == k)
                 if over.any():
                     count[lang[over], col[over]] += new[over] - old[over]
                     last = over & ~met
                     state[lang[last], col[last]] = now[last]
-                    lang, col, now, new, old = lang[~over], col[~over], now[~over], new[~over], old[~over]
-                    if not len(lang):
-                        break
+                    lang, col, now, new, old, k = lang[~over], col[~over], now[~over], new[~over], old[~over], k[~over]
+
+    def _again(self, codes: np.ndarray, lang: int, now: int, states: np.ndarray, stops: np.ndarray) -> tuple[int | None, int]:
+        """Parse the rest of a stretch from another state, up to the place where both parses are in one state: the state at
+        the end if there is no such place, and how many pieces more there are. ``states`` and ``stops`` are brought up to date."""
+        step, root, more = self.step.item, int(self.roots[lang]), 0
+        old_states, old_stops = states[: len(codes)].tolist(), stops[: len(codes)].tolist()
+        for k, c in enumerate(codes.tolist()):
+            to = step(now + c)
+            stop = not to
+            now = to or step(root + c) or root
+            more += stop - old_stops[k]
+            if now == old_states[k]:
+                stops[k] = stop
+                return None, more
+            states[k], stops[k] = now, stop
+        return now, more
 
     def predict(self, data: np.ndarray, offsets: np.ndarray) -> tuple[list[str], np.ndarray]:
         codes, first = self.alphabet.codes(data, offsets)

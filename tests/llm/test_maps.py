@@ -299,8 +299,9 @@ def test_pieces_of_long_texts_are_those_of_one_parse(monkeypatch):
     texts = [" ".join(rng.choice(words) for _ in range(n)) for n in (0, 1, 3, 40, 400, 900, 77)] + ["the cat " * 300, "thecatsaton" * 90]
     codes, first = p.alphabet.codes(*language.text_bytes(pa.array(texts)))
     want = [[greedy_pieces(t, language.normal(samples[k])) for k in p.langs] for t in texts]
-    for stretch, most in ((language.STRETCH, language.STRETCHES), (7, 5), (3, 1), (10_000, 9)):
+    for stretch, most, few in ((language.STRETCH, language.STRETCHES, 32), (7, 5, 0), (7, 50, 4), (3, 1, 0), (80, 9, 0), (10_000, 9, 0)):
         monkeypatch.setattr(language, "STRETCHES", most)
+        monkeypatch.setattr(language, "FEW", few)
         assert p.pieces(codes, first, stretch).tolist() == want, stretch
 
 

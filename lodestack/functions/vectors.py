@@ -8,6 +8,8 @@ from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -78,16 +80,26 @@ class HashEmbedder:
         return _unit(out).tolist()
 
 
-def dot(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def cosine(column: Column, vector: list[float]) -> Column:
-    """Cosine similarity to a fixed vector; null for a vector without length or of another dimension."""
-    norm = float(np.sqrt(np.sum(np.square(np.asarray(vector, np.float64)))))
-    fixed = F.array(*[F.lit(float(x)) for x in vector])
-    own = F.sqrt(F.aggregate(column, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
-    return F.when((F.size(column) == len(vector)) & (own > 0) & F.lit(norm > 0), dot(column, fixed) / (own * F.lit(norm or 1.0)))
+    """Cosine similarity to a fixed vector; null for a vector without length, of another dimension, or with a null in it. One
+    product of a matrix and a vector for every batch of rows."""
+    fixed = np.asarray(vector, np.float64)
+    norm, dim = float(np.sqrt(np.square(fixed).sum())), len(fixed)
+
+    @F.arrow_udf("double")
+    def similarity(own: pa.Array) -> pa.Array:
+        out, good = np.zeros(len(own)), np.zeros(len(own), dtype=bool)
+        if dim and norm:
+            whole = pc.fill_null(pc.equal(pc.list_value_length(own), dim), False)
+            rows = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+            flat = own.filter(whole).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+            length = np.sqrt(np.square(flat).sum(1))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out[rows] = (flat * fixed).sum(1) / (length * norm)  # row by row, so equal vectors have equal similarities
+            good[rows] = length > 0
+        return pa.array(out, mask=~good)
+
+    return similarity(column)
 
 
 def to_base64(vector: list[float]) -> str:

@@ -7,7 +7,6 @@ import hashlib
 from typing import Protocol
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
@@ -54,21 +53,15 @@ class HashEmbedder:
         """Vectors of token arrays, a batch at a time: built-in functions would copy a vector for every token."""
         dim = self.dim
 
-        @F.pandas_udf("array<float>")
-        def embed(lists: pd.Series) -> pd.Series:
-            known: dict[str, tuple[int, int]] = {}
-            out = []
-            for own in lists:
-                if own is None:
-                    out.append(None)
-                    continue
-                vector = np.zeros(dim)
-                for token in own:
-                    if (found := known.get(token)) is None:
-                        found = known[token] = _place(token, dim)
-                    vector[found[0]] += found[1]
-                out.append(_unit(vector))
-            return pd.Series(out)
+        @F.arrow_udf("array<float>")
+        def embed(lists: pa.Array) -> pa.Array:
+            words, size = lists.flatten().dictionary_encode(), lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
+            places = np.array([_place(t, dim) for t in words.dictionary.to_pylist()], np.int64).reshape(-1, 2)[words.indices.to_numpy()]
+            row = np.repeat(np.arange(len(size)), size)
+            sums = np.bincount(row * dim + places[:, 0], weights=places[:, 1], minlength=len(size) * dim).reshape(-1, dim)
+            norm = np.sqrt(np.square(sums).sum(1, keepdims=True))
+            unit = (sums / np.where(norm > 0, norm, 1)).astype(np.float32)
+            return pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * dim), pa.array(unit.reshape(-1)), mask=lists.is_null())
 
         return embed(tokens)
 

@@ -52,39 +52,68 @@ def cut_blocks(text: str, parser: str) -> list[list[str]]:
     return out
 
 
-def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, parser, text) to (key, block, base, words): base is the number of the document's tokens before the block."""
-    for batch in batches:
-        keys, out = batch.column(0), ([], [], [], [])
-        for row, (parser, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-            base = 0
-            for k, own in enumerate(cut_blocks(text, parser)):
-                words = _WORD.findall("\n".join(own))
-                if words:
-                    for x, value in zip(out, (row, k, base, words)):
+def _words(text: str | None, parser: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(block, tokens of the text before it, its own tokens) of each block that has any."""
+    base = 0
+    for k, own in enumerate(cut_blocks(text, parser) if text else ()):
+        if words := _WORD.findall("\n".join(own)):
+            yield k, base, words
+            base += len(words)
+
+
+def _mapped(make, names: list[str], kinds: list[pa.DataType], most: int = 8 << 20):
+    """A function of Arrow batches (key, parser, text): rows of the key and of what ``make(text, parser)`` gives, together
+    with their size in bytes; batches of about ``most`` bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, rows, out, held = batch.column(0), [], [[] for _ in names], 0
+
+            def emit() -> pa.RecordBatch:
+                return pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), *(pa.array(x, kind) for x, kind in zip(out, kinds))], names=["key", *names])
+
+            for row, (parser, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                for size, values in make(text, parser):
+                    rows.append(row)
+                    for x, value in zip(out, values):
                         x.append(value)
-                base += len(words)
-        yield pa.RecordBatch.from_arrays([keys.take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.list_(pa.string()))], names=["key", "block", "base", "words"])
+                    held += size
+                    if held > most:
+                        yield emit()
+                        rows, out, held = [], [[] for _ in names], 0
+            yield emit()
+
+    return run
+
+
+def _in_rows(docs: DataFrame, key: str, text: str, parser: str | None, make, columns: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
+    own = docs.select(F.col(key).alias("key"), (F.col(parser) if parser else F.lit("plain")).alias("parser"), F.col(text).alias("text"))
+    schema = ", ".join([f"key {own.schema['key'].dataType.simpleString()}", *(f"`{c}` {kind}" for c, (kind, _) in columns.items())])
+    return own.mapInArrow(_mapped(make, list(columns), [x for _, x in columns.values()]), schema)
 
 
 def blocks(docs: DataFrame, key: str = "id", text: str = "text", parser: str = "parser") -> DataFrame:
     """One row per block with tokens: key, block (in order), tokens of the document before it, and its own. No row leaves its
     task: lines of a text are numbered where they are, not by a shuffle."""
-    plain = docs.where(F.col(parser) == "plain").select(F.col(key).alias("key"), F.lit(0).cast("long").alias("block"), F.lit(0).cast("long").alias("base"), X.tokens(F.col(text)).alias("words"))
-    cut = docs.where((F.col(parser) != "plain") & F.col(text).isNotNull()).select(F.col(key).alias("key"), F.col(parser).alias("parser"), F.col(text).alias("text"))
-    return plain.unionByName(cut.mapInArrow(_split, f"key {cut.schema['key'].dataType.simpleString()}, block long, base long, words array<string>"))
+    make = lambda text, parser: ((16 * len(words), (k, base, words)) for k, base, words in _words(text, parser))
+    return _in_rows(docs, key, text, parser, make, {"block": ("long", pa.int64()), "base": ("long", pa.int64()), "words": ("array<string>", pa.list_(pa.string()))})
 
 
-def chunks(found: DataFrame, size: int, overlap: int) -> DataFrame:
-    """One row per chunk of ``blocks``: doc_id, offset (in tokens of the document, without overlaps), tokens, text.
+def chunks(docs: DataFrame, size: int, overlap: int, key: str = "id", text: str = "text", parser: str | None = None) -> DataFrame:
+    """One row per chunk: doc_id, offset (in tokens of the document, without overlaps), tokens, text.
 
-    Blocks without tokens give none, and chunks never span blocks.
+    ``parser`` names the column that tells how each text is cut, else all are plain. Blocks without tokens give none, and
+    chunks never span blocks. Texts are cut where they are: a chunk is made of its own tokens only.
     """
     overlap = min(overlap, size - 1)
-    found = found.withColumn("n", F.size("words")).where(F.col("n") > 0)
-    start = F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.col("n") - overlap - 1), F.lit(size - overlap)))
-    cut = found.select("key", "base", "words", start.alias("start")).withColumn("own", F.slice("words", F.col("start") + 1, size))
-    return cut.select(F.col("key").alias("doc_id"), (F.col("base") + F.col("start")).alias("offset"), F.size("own").cast("long").alias("tokens"), F.array_join("own", " ").alias("text"))
+
+    def make(text: str | None, parser: str):
+        for _, base, words in _words(text, parser):
+            for start in range(0, max(0, len(words) - overlap - 1) + 1, size - overlap):
+                own = " ".join(words[start : start + size])
+                yield len(own) + 24, (base + start, min(size, len(words) - start), own)
+
+    return _in_rows(docs, key, text, parser, make, {"offset": ("long", pa.int64()), "tokens": ("long", pa.int64()), "text": ("string", pa.string())}).withColumnRenamed("key", "doc_id")
 
 
 def finish_chunks(cut: DataFrame, embedder=None) -> DataFrame:
@@ -95,10 +124,7 @@ def finish_chunks(cut: DataFrame, embedder=None) -> DataFrame:
 
 def chunk_documents(docs: DataFrame, size: int, overlap: int, embedder=None, key: str = "id", text: str = "text", parser: str | None = None) -> DataFrame:
     """The chunk table of documents; ``parser`` names the column that tells how each is cut, else all are plain."""
-    if parser is None:
-        found = docs.select(F.col(key).alias("key"), F.lit(0).cast("long").alias("base"), X.tokens(F.col(text)).alias("words"))
-        return finish_chunks(chunks(found, size, overlap), embedder)
-    return finish_chunks(chunks(blocks(docs, key, text, parser), size, overlap), embedder)
+    return finish_chunks(chunks(docs, size, overlap, key, text, parser), embedder)
 
 
 def _pairs(own: Column) -> Column:

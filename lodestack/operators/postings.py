@@ -1,8 +1,9 @@
 """An inverted index of chunks: built once when text comes in, read by term when it is searched.
 
-Chunks get numbers, and each (term, chunk) is one row with the places of the term in the chunk. Rows are in order of terms and
-cut into even ranges, so a term that a third of all chunks hold is spread over many files, and a search for some words reads
-the pages of these words only, by the statistics of the files. The text of chunks is read for the few rows that are returned.
+Chunks get numbers. A row of the postings is a term with its entries in some thousands of chunks: the number of each, its
+length and the places of the term in it. Rows are in order of terms and cut into even ranges, so a term that a third of all
+chunks hold is spread over many files, and a search for some words reads the pages of these words only, by the statistics of
+the files. The text of chunks is read for the few rows that are returned.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from pyspark.sql import types as T
 
 from ..functions import fulltext as FT
 from ..schema import CHUNK
+from ..sources.folder import Folder
 
-POSTINGS = "head string, term string, n long, length int, places array<int>"
+POSTINGS = "head string, term string, entries array<struct<n:long,length:int,places:array<int>>>"
 #: Rows that are looked up by their numbers as literals, so that files without them are skipped.
 LOOKUP_ROWS = 1000
 
@@ -41,7 +43,7 @@ def _head(term: str) -> str:
 
 
 def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(n, terms) to one row for each term of each chunk."""
+    """(n, terms) to one row for each term of a batch of chunks, with all its entries in them."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -50,19 +52,19 @@ def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         size = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
         row = np.repeat(np.arange(len(size)), size)
         place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        code = words.indices.to_numpy()
-        order = np.lexsort((place, code, row))
+        code = words.indices.to_numpy().astype(np.int64)
+        order = np.argsort(code, kind="stable")  # chunks and places are in order already
         row, code, place = row[order], code[order], place[order]
-        cut = np.flatnonzero(np.concatenate(([True], (row[1:] != row[:-1]) | (code[1:] != code[:-1]), [True]))) if len(row) else np.zeros(1, np.int64)
+        new = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
+        cut = np.flatnonzero(np.concatenate(([True], new, [True]))) if len(row) else np.zeros(1, np.int64)
         first = cut[:-1]
-        heads = pa.array([_head(t) for t in words.dictionary.to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays(
-            [
-                heads.take(pa.array(code[first])), words.dictionary.take(pa.array(code[first])).cast(pa.string()), batch.column(0).take(pa.array(row[first])),
-                pa.array(size[row[first]].astype(np.int32)), pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(place.astype(np.int32))),
-            ],
-            names=["head", "term", "n", "length", "places"],
-        )
+        own = code[first]
+        term_cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True]))) if len(own) else np.zeros(1, np.int64)
+        terms = words.dictionary.take(pa.array(own[term_cut[:-1]])).cast(pa.string())
+        places = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(place.astype(np.int32)))
+        entries = pa.StructArray.from_arrays([batch.column(0).take(pa.array(row[first])), pa.array(size[row[first]].astype(np.int32)), places], names=["n", "length", "places"])
+        heads = pa.array([_head(t) for t in terms.to_pylist()], pa.string())
+        yield pa.RecordBatch.from_arrays([heads, terms, pa.ListArray.from_arrays(pa.array(term_cut.astype(np.int32)), entries)], names=["head", "term", "entries"])
 
 
 ROWS = T.StructType([*CHUNK.fields, T.StructField("n", T.LongType()), T.StructField("length", T.IntegerType())])
@@ -77,9 +79,14 @@ def write(chunk: DataFrame, path: str, base: int = 0) -> tuple[int, int]:
     number = F.monotonically_increasing_id() + F.lit(base << 50)
     chunk.select(*CHUNK.fieldNames(), number.alias("n"), F.size("terms").alias("length")).write.parquet(f"{path}/rows")
     rows = spark.read.schema(ROWS).parquet(f"{path}/rows")
-    inverted = rows.select("n", "terms").mapInArrow(_invert, POSTINGS)
+    # written down, as the ranges are drawn from a look at all rows
+    rows.select("n", "terms").mapInArrow(_invert, POSTINGS).write.parquet(f"{path}/unsorted")
+    inverted = spark.read.schema(POSTINGS).parquet(f"{path}/unsorted")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    inverted.repartitionByRange(parts, "head", "term", "n").sortWithinPartitions("head", "term", "n").write.partitionBy("head").parquet(f"{path}/postings")
+    # rows of one term are told apart by their first entry, so a term of very many chunks is cut too
+    inverted = inverted.withColumn("from", F.col("entries")[0]["n"])
+    inverted.repartitionByRange(parts, "head", "term", "from").sortWithinPartitions("head", "term", "from").drop("from").write.partitionBy("head").parquet(f"{path}/postings")
+    Folder(spark, path).delete("unsorted")
     found = rows.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     return found[0], found[1]
 
@@ -136,10 +143,11 @@ def hits(index: Index, node: FT.Node) -> tuple[DataFrame, Places]:
     """One row (n, length, places of the words asked for) for each chunk that holds any of a query's words."""
     asked = _asked(node)
     if not asked:
-        none = index.postings.limit(0).select("n", "length")
-        return none, Places({}, F.col("length"))
+        none = index.postings.limit(0).select(F.inline("entries"))
+        return none.select("n", "length"), Places({}, F.col("length"))
     same = lambda t, prefix: F.col("term").startswith(t) if prefix else F.col("term") == t
     rows = index.postings.where(F.col("head").isin(sorted({_head(t) for t, _ in asked}))).where(functools.reduce(lambda a, b: a | b, [same(t, prefix) for t, prefix in asked]))
+    rows = rows.select("term", F.inline("entries"))
     if index.gone is not None:
         rows = rows.join(index.gone, "n", "left_anti")
     if len(asked) == 1 and not asked[0][1]:  # a chunk has one row of a word

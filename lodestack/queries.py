@@ -214,13 +214,13 @@ SELECT id AS doc_id, (base + s)::BIGINT AS "offset", len(list_slice(w, s + 1, s
 @register(_blocks_sql("# ", "```", "(line LIKE '```%' AND fences % 2 = 1) OR (line LIKE '#%' AND fences % 2 = 0) OR (prev LIKE '```%' AND (fences - CASE WHEN line LIKE '```%' THEN 1 ELSE 0 END) % 2 = 0)", "true"))
 def chunk_markdown(spark, sf_dir):
     d = _marked(spark, sf_dir, "markdown", lambda l: F.concat(F.lit("# "), l), "```")
-    return CH.chunks(CH.blocks(d), 32, 8).select("doc_id", "offset", "tokens", "text")
+    return CH.chunks(d, 32, 8, parser="parser").select("doc_id", "offset", "tokens", "text")
 
 
 @register(_blocks_sql("  def ", "", "ltrim(line) LIKE 'def %' OR trim(prev) = ''", "trim(line) <> ''"))
 def chunk_code(spark, sf_dir):
     d = _marked(spark, sf_dir, "code", lambda l: F.concat(F.lit("  def "), l), "")
-    return CH.chunks(CH.blocks(d), 32, 8).select("doc_id", "offset", "tokens", "text")
+    return CH.chunks(d, 32, 8, parser="parser").select("doc_id", "offset", "tokens", "text")
 
 
 @register(f"WITH {DOC_SQL} SELECT n AS doc_id, hash, id, sha256(id || ':0') AS chunk_id FROM doc")

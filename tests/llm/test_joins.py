@@ -77,6 +77,59 @@ def test_similar_in_blocks(spark, monkeypatch):
     check_similar(spark, {k: " ".join(edited(rng, base, rng.choice([0, 0.004, 0.012, 0.03]))) for k in range(60)})
 
 
+def test_a_phrase_of_many_short_texts_makes_no_large_component(spark, monkeypatch):
+    monkeypatch.setattr(similar, "BLOCK_SETS", 20)
+    monkeypatch.setattr(similar, "RARE", 3)
+    sent, passes = [], similar._passes
+    monkeypatch.setattr(similar, "_passes", lambda candidate, classes: sent.append(candidate.select(F.sum("blocks"), F.count("*")).first()) or passes(candidate, classes))
+    rng = random.Random(6)
+    phrase, texts = words_of(rng, 13), {}
+    for k in range(150):
+        own = words_of(rng, 6, 10**6)
+        texts[2 * k] = " ".join(phrase + own[: 3 + k % 4])
+        texts[2 * k + 1] = " ".join(words_of(rng, 3, 10**6)[: k % 3] + phrase + own[: 3 + k % 4]) if k % 5 == 0 else " ".join(words_of(rng, 9, 10**6))
+    check_similar(spark, texts)
+    blocks, n = sent[0]
+    assert n and blocks <= 2 * n  # a text goes to as many pairs of blocks as its component has blocks
+
+
+def test_similar_sets_share_a_rare_shingle():
+    rng = np.random.default_rng(8)
+    for size in (1, 2, 4, 5, 6, 9, 24, 25, 26, 60, 131):
+        common = -(-80 * size // 100)
+        universe = rng.integers(0, 2**64, 400, dtype=np.uint64)
+        base = universe[:size]
+        for less in {0, size - common}:
+            for more in {0, (size - less) * 100 // 80 - size, size // 4}:
+                other = np.concatenate([base[: size - less], universe[300 : 300 + more]])
+                if 100 * (size - less) < 80 * (size + more):
+                    continue
+                known = np.sort(rng.choice(universe, 50, replace=False))
+                sets = np.concatenate([np.sort(base), np.sort(other)])
+                sig, owner, turn = similar.prefixes(sets, np.array([0, size, len(sets)]), known, rng.integers(1, 9, 50))
+                own = [set(zip(sig[owner == k].tolist(), turn[owner == k].tolist())) for k in (0, 1)]
+                assert own[0] & own[1]
+
+
+def test_nodes_of_a_signature_are_linked_wherever_its_entries_go():
+    rng = np.random.default_rng(9)
+    parts = 32
+    sig = np.repeat(rng.integers(0, 2**64, 40, dtype=np.uint64), 60)
+    code, node = similar._codes(sig, np.full(len(sig), 4), parts), np.arange(len(sig))
+    slices = [similar._entries(code[k::2], node[k::2], True) for k in (0, 1)]
+    edges = []
+    for part in range(parts):
+        mine = [rows.slice(r, 1) for rows in slices for r in range(rows.num_rows) if rows.column(0)[r].as_py() == part]
+        for rows in similar._link(iter(mine)):
+            edges += list(zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()))
+    adjacent = {}
+    for a, b in edges:
+        adjacent.setdefault(a, set()).add(b)
+        adjacent.setdefault(b, set()).add(a)
+    root = component_of(adjacent)
+    assert all(root[k] == k // 60 * 60 for k in range(len(sig)))
+
+
 def test_links_within_by_any_means():
     rng = random.Random(5)
     base = [rng.randrange(10**9) for _ in range(60)]

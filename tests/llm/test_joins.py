@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import numpy as np
 import pytest
@@ -130,6 +131,17 @@ def test_nodes_of_a_signature_are_linked_wherever_its_entries_go():
     assert all(root[k] == k // 60 * 60 for k in range(len(sig)))
 
 
+def test_shuffle_files_go_with_the_table_they_made(spark):
+    manager = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager()
+    files = lambda: manager.diskBlockManager().getAllFiles().mkString(" ").count("shuffle_")
+    had, before = spark.conf.get(common.SHUFFLE_CLEANUP), files()
+    kept = common.stored(spark.range(1000).repartition(3, "id").groupBy((F.col("id") % 7).alias("k")).count())
+    for _ in range(20):
+        if files() > before:
+            time.sleep(0.1)
+    assert files() <= before and spark.conf.get(common.SHUFFLE_CLEANUP) == had and kept.count() == 7
+
+
 def test_links_within_by_any_means():
     rng = random.Random(5)
     base = [rng.randrange(10**9) for _ in range(60)]

@@ -363,6 +363,27 @@ def test_passages_that_others_hold_in_parts_are_found(spark):
     assert {(r["source_doc_id"], r["source_begin"] - r["begin_word"]) for r in rows} == {(3, 19), (3, 38)}
 
 
+def test_every_two_holders_of_a_fuzzy_passage_are_linked(spark):
+    rng = random.Random(20)
+    fresh = lambda n: words_of(rng, n, 10**6)
+    few, many = fresh(60), fresh(60)
+    # earlier documents hold parts of a passage, too short to count
+    docs = {1: fresh(25) + few[:30] + fresh(9), 2: fresh(14) + few[30:] + fresh(20)}
+    for k in (3, 4, 5):
+        docs[k] = fresh(10 * k) + [f"x{k}" if i in (17 + k, 39 + k) else w for i, w in enumerate(few)] + fresh(12)
+    # its seeds have more holders than are paired by one of them
+    held = range(10, 10 + passages.FREQUENT + 12)
+    for k in held:
+        docs[k] = fresh(k % 7) + [f"y{k}" if i in (19 + k % 3, 39 + k % 4) else w for i, w in enumerate(many)] + fresh(5)
+    t = spark.createDataFrame([(k, " ".join(w)) for k, w in docs.items()], "doc_id long, text string").repartition(3)
+    rows = passages.repeated_passages(t).collect()
+    at = {k: 10 * k if k < 10 else k % 7 for k in docs}
+    want = {(4, 3), (5, 3), (5, 4)} | {(a, b) for a in held for b in held if a > b}
+    assert {(r["doc_id"], r["source_doc_id"]) for r in rows} == want
+    whole = {(r["doc_id"], r["source_doc_id"]) for r in rows if r["begin_word"] <= at[r["doc_id"]] and r["end_word"] >= at[r["doc_id"]] + 60 and r["source_begin"] <= at[r["source_doc_id"]] and r["source_end"] >= at[r["source_doc_id"]] + 60}
+    assert whole == want
+
+
 def test_every_exact_repeat_is_decided(spark):
     rng = random.Random(16)
     docs = {k: [w for _ in range(rng.randint(0, 6)) for w in rng.choice([words_of(rng, rng.randint(1, 9), 3), ["a"] * rng.randint(1, 30), list("bcdefgh")])] for k in range(60)}

@@ -1,6 +1,7 @@
 """Operators that compare documents: against brute force, and over odd tables."""
 
 import hashlib
+import os
 import random
 import time
 
@@ -142,6 +143,12 @@ def test_shuffle_files_go_with_the_table_they_made(spark):
     assert files() <= before and spark.conf.get(common.SHUFFLE_CLEANUP) == had and kept.count() == 7
 
 
+def test_stored_tables_have_no_files_besides_their_own(spark):
+    kept = common.stored(spark.range(0, 100, 1, 3))
+    files = os.listdir(kept._lodestack_path.removeprefix("file:"))
+    assert len(files) == 3 and all(f.startswith("part-") for f in files) and kept.count() == 100
+
+
 def test_links_within_by_any_means():
     rng = random.Random(5)
     base = [rng.randrange(10**9) for _ in range(60)]

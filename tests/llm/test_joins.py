@@ -149,6 +149,13 @@ def test_stored_tables_have_no_files_besides_their_own(spark):
     assert len(files) == 3 and all(f.startswith("part-") for f in files) and kept.count() == 100
 
 
+def test_keys_meet_in_as_many_parts_as_asked_for(spark):
+    rows = [(k, d, d % 3 == 0) for d in range(12) for k in range(40) if (k + d) % 4 == 0]
+    met = passages.met_by_key(spark.createDataFrame(rows, "key long, doc long, short boolean"), 7)
+    want = sorted((d, e) for k, d, short in rows for j, e, _ in rows if k == j and d > e and not short)
+    assert met.rdd.getNumPartitions() == 7 and sorted(map(tuple, met.collect())) == want
+
+
 def test_links_within_by_any_means():
     rng = random.Random(5)
     base = [rng.randrange(10**9) for _ in range(60)]

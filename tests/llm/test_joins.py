@@ -410,6 +410,43 @@ def test_every_exact_repeat_is_decided(spark):
     assert all(docs[r["doc_id"]][r["begin_word"] : r["end_word"]] == docs[r["source_doc_id"]][r["source_begin"] : r["source_end"]] and r["source_doc_id"] < r["doc_id"] for r in rows)
 
 
+def test_turns_are_those_of_spark(spark):
+    docs = [0, 1, -1, 7, 2**40 + 3, -(2**61) - 5, 2**63 - 1, -(2**63)]
+    rows = spark.createDataFrame([(d,) for d in docs], "doc long")
+    for turns in (1, 3, 16):
+        assert [r[0] for r in rows.select(passages._turn(turns)).collect()] == passages.turn_of(np.array(docs), turns).tolist()
+
+
+def test_passes_hold_their_share_of_matches_and_pairs(spark, monkeypatch):
+    rng = random.Random(11)
+    base = words_of(rng, 70, 5000)
+    rows = [(k, " ".join(words_of(rng, 5, 5000) + edited(rng, base, 0.02) + words_of(rng, 5, 5000))) for k in range(160)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(map(tuple, passages.repeated_passages(docs).collect()))
+    plain, held = passages._aligned, {"matches": [], "pairs": []}
+
+    def counted(docs, matches, *rest):
+        held["matches"].append(matches.count())
+        return plain(docs, matches, *rest)
+
+    pairs = passages.frequent_pairs
+
+    def paired(*args):
+        out = pairs(*args)
+        held["pairs"].append(out.count())
+        return out
+
+    monkeypatch.setattr(passages, "PASS_MATCHES", 10_000)
+    monkeypatch.setattr(passages, "PASS_BYTES", 10**6)
+    monkeypatch.setattr(passages, "_aligned", counted)
+    monkeypatch.setattr(passages, "frequent_pairs", paired)
+    assert sorted(map(tuple, passages.repeated_passages(docs).collect())) == whole
+    assert len(held["matches"]) > 3 and max(held["matches"]) < sum(held["matches"]) / 2
+    assert max(held["pairs"]) < sum(held["pairs"]) / 2
+    covered = lambda spans: {(d, w) for d, a, b in spans for w in range(a, b)}
+    assert covered(map(tuple, passages.repeated_words(docs).collect())) == covered((r[0], r[2], r[3]) for r in whole)
+
+
 def test_passages_are_cut_from_rows_without_ids(spark):
     rng = random.Random(17)
     passage = words_of(rng, 60, 10**6)

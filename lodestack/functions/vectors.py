@@ -12,6 +12,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .arrow import release
+
+
+#: Places of vectors that are summed up at a time.
+EMBED_PLACES = 1 << 18
+
 
 class Embedder(Protocol):
     """Makes vectors of ``dim`` floats from token arrays; ``name`` is kept with the store."""
@@ -53,15 +59,24 @@ class HashEmbedder:
         """Vectors of token arrays, a batch at a time: built-in functions would copy a vector for every token."""
         dim = self.dim
 
-        @F.arrow_udf("array<float>")
-        def embed(lists: pa.Array) -> pa.Array:
+        def vectors(lists: pa.Array) -> np.ndarray:
             words, size = lists.flatten().dictionary_encode(), lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
             places = np.array([_place(t, dim) for t in words.dictionary.to_pylist()], np.int64).reshape(-1, 2)[words.indices.to_numpy()]
             row = np.repeat(np.arange(len(size)), size)
             sums = np.bincount(row * dim + places[:, 0], weights=places[:, 1], minlength=len(size) * dim).reshape(-1, dim)
             norm = np.sqrt(np.square(sums).sum(1, keepdims=True))
-            unit = (sums / np.where(norm > 0, norm, 1)).astype(np.float32)
-            return pa.ListArray.from_arrays(pa.array(np.arange(len(size) + 1, dtype=np.int32) * dim), pa.array(unit.reshape(-1)), mask=lists.is_null())
+            return (sums / np.where(norm > 0, norm, 1)).astype(np.float32)
+
+        @F.arrow_udf("array<float>")
+        def embed(lists: pa.Array) -> pa.Array:
+            unit = np.zeros((len(lists), dim), np.float32)
+            step = max(1, EMBED_PLACES // dim)
+            for k in range(0, len(lists), step):
+                unit[k : k + step] = vectors(lists.slice(k, step))
+            out = pa.ListArray.from_arrays(pa.array(np.arange(len(lists) + 1, dtype=np.int32) * dim), pa.array(unit.reshape(-1)), mask=lists.is_null())
+            del lists, unit
+            release()
+            return out
 
         return embed(tokens)
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as X
+from ..functions.arrow import bound_batches, release
 
 
 def lines(text: Column) -> Column:
@@ -72,8 +73,8 @@ def _mapped(make, names: list[str], kinds: list[pa.DataType], most: int = 8 << 2
             def emit() -> pa.RecordBatch:
                 return pa.RecordBatch.from_arrays([keys.take(pa.array(rows, pa.int64())), *(pa.array(x, kind) for x, kind in zip(out, kinds))], names=["key", *names])
 
-            for row, (parser, text) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                for size, values in make(text, parser):
+            for row, (parser, text) in enumerate(zip(batch.column(1), batch.column(2))):
+                for size, values in make(text.as_py(), parser.as_py()):
                     rows.append(row)
                     for x, value in zip(out, values):
                         x.append(value)
@@ -82,6 +83,9 @@ def _mapped(make, names: list[str], kinds: list[pa.DataType], most: int = 8 << 2
                         yield emit()
                         rows, out, held = [], [[] for _ in names], 0
             yield emit()
+            del batch, keys, emit
+            rows = out = None
+            release()
 
     return run
 
@@ -89,6 +93,7 @@ def _mapped(make, names: list[str], kinds: list[pa.DataType], most: int = 8 << 2
 def _in_rows(docs: DataFrame, key: str, text: str, parser: str | None, make, columns: dict[str, tuple[str, pa.DataType]]) -> DataFrame:
     own = docs.select(F.col(key).alias("key"), (F.col(parser) if parser else F.lit("plain")).alias("parser"), F.col(text).alias("text"))
     schema = ", ".join([f"key {own.schema['key'].dataType.simpleString()}", *(f"`{c}` {kind}" for c, (kind, _) in columns.items())])
+    bound_batches(docs.sparkSession)
     return own.mapInArrow(_mapped(make, list(columns), [x for _, x in columns.values()]), schema)
 
 

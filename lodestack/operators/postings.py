@@ -1,7 +1,7 @@
 """An inverted index of chunks: built once when text comes in, read by term when it is searched.
 
 Chunks get numbers. A row of the postings is a term with its entries in some thousands of chunks: the number of each, its
-length and the places of the term in it. Rows are in order of terms and cut into even ranges, so a term that a third of all
+length and the places of the term in it, as numbers of one to five bytes. Rows are in order of terms and cut into even ranges, so a term that a third of all
 chunks hold is spread over many files, and a search for some words reads the pages of these words only, by the statistics of
 the files. The text of chunks is read for the few rows that are returned.
 """
@@ -19,10 +19,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import fulltext as FT
-from ..schema import CHUNK
+from ..functions.arrow import bound_batches, release
+from ..schema import CHUNK, DENSE
 from ..sources.folder import Folder
 
-POSTINGS = "head string, term string, entries array<struct<n:long,length:int,places:array<int>>>"
+POSTINGS = "head string, term string, start long, n int, entries binary"
+#: Terms that are inverted at a time, and entries that are decoded, about.
+INVERTED, DECODED = 1 << 20, 200_000
+#: Bytes of postings, as Parquet, that are sorted by one task.
+PART_BYTES = 16 << 20
 #: Rows that are looked up by their numbers as literals, so that files without them are skipped.
 LOOKUP_ROWS = 1000
 
@@ -45,26 +50,99 @@ def _head(term: str) -> str:
 def _invert(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(n, terms) to one row for each term of a batch of chunks, with all its entries in them."""
     for batch in batches:
-        if not batch.num_rows:
-            continue
-        lists = batch.column(1)
-        words = lists.flatten().dictionary_encode()
-        size = lists.value_lengths().fill_null(0).to_numpy().astype(np.int64)
-        row = np.repeat(np.arange(len(size)), size)
-        place = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size)
-        code = words.indices.to_numpy().astype(np.int64)
-        order = np.argsort(code, kind="stable")  # chunks and places are in order already
-        row, code, place = row[order], code[order], place[order]
-        new = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
-        cut = np.flatnonzero(np.concatenate(([True], new, [True]))) if len(row) else np.zeros(1, np.int64)
-        first = cut[:-1]
-        own = code[first]
-        term_cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True]))) if len(own) else np.zeros(1, np.int64)
-        terms = words.dictionary.take(pa.array(own[term_cut[:-1]])).cast(pa.string())
-        places = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(place.astype(np.int32)))
-        entries = pa.StructArray.from_arrays([batch.column(0).take(pa.array(row[first])), pa.array(size[row[first]].astype(np.int32)), places], names=["n", "length", "places"])
-        heads = pa.array([_head(t) for t in terms.to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays([heads, terms, pa.ListArray.from_arrays(pa.array(term_cut.astype(np.int32)), entries)], names=["head", "term", "entries"])
+        number = batch.column(0).to_numpy()
+        # numbers of one row are near each other, as those of one file are
+        total = np.cumsum(batch.column(1).value_lengths().fill_null(0).to_numpy().astype(np.int64)) // INVERTED
+        cuts = np.unique([0, *(np.flatnonzero((np.abs(np.diff(number)) >= 1 << 30) | (np.diff(total) > 0)) + 1), batch.num_rows]).tolist()
+        for begin, end in zip(cuts, cuts[1:]):
+            yield _inverted(number[begin:end], batch.column(1).slice(begin, end - begin))
+        del batch, number
+        release()
+
+
+def _inverted(number: np.ndarray, lists: pa.Array) -> pa.RecordBatch:
+    words = lists.flatten().dictionary_encode()
+    size = lists.value_lengths().fill_null(0).to_numpy().astype(np.int32)
+    row = np.repeat(np.arange(len(size), dtype=np.int32), size)
+    place = (np.arange(len(row)) - np.repeat(np.cumsum(size, dtype=np.int64) - size, size)).astype(np.int32)
+    code = words.indices.to_numpy()
+    order = np.argsort(code, kind="stable")  # chunks and places are in order already
+    row, code, place = row[order], code[order], place[order]
+    new = (code[1:] != code[:-1]) | (row[1:] != row[:-1])
+    cut = np.flatnonzero(np.concatenate(([True], new, [True]))) if len(row) else np.zeros(1, np.int64)
+    own, row = code[cut[:-1]], row[cut[:-1]]
+    term_cut = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1], [True]))) if len(own) else np.zeros(1, np.int64)
+    start = number[row[term_cut[:-1]]]
+    terms = words.dictionary.take(pa.array(own[term_cut[:-1]])).cast(pa.string())
+    heads = pa.array([_head(t) for t in terms.to_pylist()], pa.string())
+    # for each term the steps of its chunks' numbers, their lengths, the times it is in each, and the steps of its places
+    n, at = np.diff(term_cut), cut[term_cut]
+    of, nth = np.repeat(np.arange(len(n)), n), np.arange(len(row)) - np.repeat(term_cut[:-1], n)
+    base = 3 * term_cut[:-1] + at[:-1]
+    values = np.zeros(3 * len(row) + len(place), np.int32)
+    values[base[of] + nth] = np.where(nth > 0, np.diff(number[row], prepend=0), 0)
+    values[base[of] + n[of] + nth] = size[row]
+    values[base[of] + 2 * n[of] + nth] = np.diff(cut)
+    step = np.diff(place, prepend=0)
+    step[cut[:-1]] = place[cut[:-1]]
+    values[np.arange(len(place)) + np.repeat(3 * term_cut[1:], np.diff(at))] = step
+    data, begin = packed(values)
+    blobs = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(begin[np.append(base, len(values))].astype(np.int32)), pa.py_buffer(data)])
+    return pa.RecordBatch.from_arrays([heads, terms, pa.array(start, pa.int64()), pa.array(n, pa.int32()), blobs], names=[x.split()[0] for x in POSTINGS.split(", ")])
+
+
+def packed(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Numbers below 2**35 as bytes of seven bits each, the high bit set where one goes on; the places at which they begin, with
+    an end."""
+    size = np.ones(len(values), np.int8)
+    for k in range(1, 5):
+        size += values >= 1 << 7 * k
+    begin = np.append(0, np.cumsum(size, dtype=np.int64))
+    out = np.zeros(begin[-1], np.uint8)
+    for k in range(5):
+        more = np.flatnonzero(size > k)
+        out[begin[more] + k] = ((values[more] >> 7 * k) & 127) | np.where(size[more] > k + 1, 128, 0)
+    return out, begin
+
+
+def unpacked(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What ``packed`` was given, and the places at which the numbers begin."""
+    if not len(data):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    last = np.flatnonzero(data < 128)
+    begin = np.append(0, last[:-1] + 1)
+    shift = 7 * (np.arange(len(data)) - np.repeat(begin, last - begin + 1))
+    return np.add.reduceat((data & 127).astype(np.int64) << shift, begin), begin
+
+
+def _decoded(term: pa.Array, start: np.ndarray, n: np.ndarray, blobs: pa.Array) -> pa.RecordBatch:
+    offsets = np.frombuffer(blobs.buffers()[1], np.int32)[blobs.offset : blobs.offset + len(blobs) + 1].astype(np.int64)
+    values, begin = unpacked(np.frombuffer(blobs.buffers()[2], np.uint8)[offsets[0] : offsets[-1]])
+    base = np.searchsorted(begin, offsets - offsets[0])
+    first = np.cumsum(n) - n
+    of, nth = np.repeat(np.arange(len(n)), n), np.arange(n.sum()) - np.repeat(first, n)
+    whole = np.cumsum(values[base[of] + nth])
+    number = start[of] + whole - whole[first][of]
+    times = values[base[of] + 2 * n[of] + nth]
+    cut = np.append(0, np.cumsum(times))
+    each = np.diff(cut[np.append(first, len(of))])
+    step = values[np.arange(cut[-1]) + np.repeat(base[:-1] + 3 * n - cut[first], each)]
+    place = np.cumsum(step)
+    place -= np.repeat(place[cut[:-1]] - step[cut[:-1]], times)
+    places = pa.ListArray.from_arrays(pa.array(cut.astype(np.int32)), pa.array(place.astype(np.int32)))
+    return pa.RecordBatch.from_arrays([term.take(pa.array(of)), pa.array(number), pa.array(values[base[of] + n[of] + nth].astype(np.int32)), places], names=["term", "n", "length", "places"])
+
+
+def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(term, start, n, entries) to a row for each entry, some at a time."""
+    for batch in batches:
+        n = batch.column(2).to_numpy().astype(np.int64)
+        cut = np.unique([0, *np.searchsorted(np.cumsum(n), np.arange(DECODED, n.sum(), DECODED), "right"), len(n)])
+        for begin, end in zip(cut.tolist(), cut[1:].tolist()):
+            some = batch.slice(begin, end - begin)
+            yield _decoded(some.column(0), some.column(1).to_numpy(), n[begin:end], some.column(3))
+        del batch
+        release()
 
 
 ROWS = T.StructType([*CHUNK.fields, T.StructField("n", T.LongType()), T.StructField("length", T.IntegerType())])
@@ -77,16 +155,17 @@ def write(chunk: DataFrame, path: str, base: int = 0) -> tuple[int, int]:
     skips most files."""
     spark = chunk.sparkSession
     number = F.monotonically_increasing_id() + F.lit(base << 50)
-    chunk.select(*CHUNK.fieldNames(), number.alias("n"), F.size("terms").alias("length")).write.parquet(f"{path}/rows")
+    chunk.select(*CHUNK.fieldNames(), number.alias("n"), F.size("terms").alias("length")).write.options(**DENSE).parquet(f"{path}/rows")
     rows = spark.read.schema(ROWS).parquet(f"{path}/rows")
     # written down, as the ranges are drawn from a look at all rows
-    rows.select("n", "terms").mapInArrow(_invert, POSTINGS).write.parquet(f"{path}/unsorted")
-    inverted = spark.read.schema(POSTINGS).parquet(f"{path}/unsorted")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bound_batches(spark)
+    rows.select("n", "terms").mapInArrow(_invert, POSTINGS).write.options(**DENSE).parquet(f"{path}/unsorted")
+    inverted, folder = spark.read.schema(POSTINGS).parquet(f"{path}/unsorted"), Folder(spark, path)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-folder.bytes("unsorted") // PART_BYTES))
     # rows of one term are told apart by their first entry, so a term of very many chunks is cut too
-    inverted = inverted.withColumn("from", F.col("entries")[0]["n"])
-    inverted.repartitionByRange(parts, "head", "term", "from").sortWithinPartitions("head", "term", "from").drop("from").write.partitionBy("head").parquet(f"{path}/postings")
-    Folder(spark, path).delete("unsorted")
+    by = ("head", "term", "start")
+    inverted.repartitionByRange(parts, *by).sortWithinPartitions(*by).write.partitionBy("head").options(**DENSE).parquet(f"{path}/postings")
+    folder.delete("unsorted")
     found = rows.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     return found[0], found[1]
 
@@ -139,15 +218,20 @@ def _asked(node: FT.Node) -> list[tuple[str, bool]]:
     return list(dict.fromkeys(found))
 
 
+def _entries(rows: DataFrame) -> DataFrame:
+    """(term, n, length, places) of all entries of rows of postings."""
+    return rows.select("term", "start", "n", "entries").mapInArrow(_decode, "term string, n long, length int, places array<int>")
+
+
 def hits(index: Index, node: FT.Node) -> tuple[DataFrame, Places]:
     """One row (n, length, places of the words asked for) for each chunk that holds any of a query's words."""
     asked = _asked(node)
     if not asked:
-        none = index.postings.limit(0).select(F.inline("entries"))
+        none = _entries(index.postings.limit(0))
         return none.select("n", "length"), Places({}, F.col("length"))
     same = lambda t, prefix: F.col("term").startswith(t) if prefix else F.col("term") == t
     rows = index.postings.where(F.col("head").isin(sorted({_head(t) for t, _ in asked}))).where(functools.reduce(lambda a, b: a | b, [same(t, prefix) for t, prefix in asked]))
-    rows = rows.select("term", F.inline("entries"))
+    rows = _entries(rows)
     if index.gone is not None:
         rows = rows.join(index.gone, "n", "left_anti")
     if len(asked) == 1 and not asked[0][1]:  # a chunk has one row of a word

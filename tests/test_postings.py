@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,3 +72,33 @@ def test_a_search_reads_no_text_of_other_rows(both):
 def test_an_empty_index(spark, tmp_path, both):
     index = PT.read(spark, str(tmp_path / "none"), *PT.write(both[0].chunk.limit(0), str(tmp_path / "none")))
     assert index.count == 0 and PT.search(index, FT.parse("ka")).count() == 0
+
+
+def test_postings_as_bytes_are_those_that_were_inverted(monkeypatch):
+    monkeypatch.setattr(PT, "INVERTED", 500)
+    monkeypatch.setattr(PT, "DECODED", 40)
+    rng = random.Random(1)
+    rows = [[rng.choice("abcdefg") for _ in range(rng.randrange(300))] for _ in range(60)] + [[], ["é"] * 70_000]
+    numbers = [*range(5, 35), *range(2**33, 2**33 + 32)]
+    batch = pa.RecordBatch.from_arrays([pa.array(numbers, pa.int64()), pa.array(rows, pa.list_(pa.string()))], names=["n", "terms"])
+    inverted = [x.select(["term", "start", "n", "entries"]) for x in PT._invert(iter([batch]))]
+    assert len(inverted) > 5
+    got = sorted((r["term"], r["n"], r["length"], tuple(r["places"])) for x in PT._decode(iter(inverted)) for r in x.to_pylist())
+    assert got == sorted((t, n, len(w), tuple(i for i, x in enumerate(w) if x == t)) for n, w in zip(numbers, rows) for t in set(w))
+    values = np.array([0, 1, 127, 128, 16383, 16384, 2**21, 2**28, 2**31, 2**34])
+    data, begin = PT.packed(values)
+    assert PT.unpacked(data)[0].tolist() == values.tolist() and PT.unpacked(data)[1].tolist() == begin[:-1].tolist() and len(data) == 1 + 1 + 1 + 2 + 2 + 3 + 4 + 5 + 5 + 5
+
+
+def test_postings_are_sorted_in_as_many_parts_as_their_bytes_ask_for(spark, tmp_path, both, monkeypatch):
+    monkeypatch.setattr(PT, "PART_BYTES", 1000)
+    PT.write(both[0].chunk, str(tmp_path / "cut"))
+    assert len(list((tmp_path / "cut/postings").glob("head=*/*.parquet"))) > 12
+
+
+def test_neighbours_are_looked_up_before_anything_is_joined(both):
+    rows = both[1].chunk.withColumn("embedding", F.array(F.lit(1.0), F.size("terms").cast("double")).cast("array<float>"))
+    near = R.semantic(Corpus(both[1].doc, rows), [1.0, 3.0], 5)
+    assert near.count() == 5
+    plan = near._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Filter") >= 2 and all("id#" in x and " IN (" in x or "INSET" in x for x in plan.split("\n") if "Filter" in x)

@@ -69,12 +69,39 @@ def lexical_tree(corpus: Corpus, node: FT.Node, k: int, where: Expr | None = Non
     if corpus.index is not None:
         return _from_index(corpus, node, k, where, snapshot)
     stats = FT.corpus_stats(corpus.chunk, node)
-    rows = joined(corpus, snapshot, ("terms",)).where(FT.matches(node, F.col("terms")))
+    chunk = corpus.chunk.where(~F.col("deleted") & FT.matches(node, F.col("terms")))
+    rows = chunk.select(_narrow(where), FT.bm25(node, F.col("terms"), stats).alias("bm25"))
+    best = _best(corpus, rows, k, where, snapshot)
+    if k <= PT.LOOKUP_ROWS:
+        found = best.collect()
+        best = corpus.doc.sparkSession.createDataFrame(found, best.schema)
+        texts = corpus.chunk.where(F.col("id").isin([r["chunk"]["id"] for r in found]))
+    else:
+        texts = corpus.chunk
+    texts = texts.select(F.col("id").alias("own_id"), F.col("text").alias("own_text")).dropDuplicates(["own_id"])
+    return _with_text(best.join(texts, F.col("chunk.id") == F.col("own_id")))
+
+
+def _narrow(where: Expr | None) -> Column:
+    """A chunk without its text, if the filter doesn't look at that."""
+    text = F.col("text") if where is not None and "text" in _fields(where) else F.lit("").alias("text")
+    return F.struct("id", "doc_id", "offset", "tokens", text).alias("chunk")
+
+
+def _best(corpus: Corpus, rows: DataFrame, k: int, where: Expr | None, snapshot: str | None) -> DataFrame:
+    """The ``k`` best of matching chunks (with ``bm25``) whose documents live and that pass the filter, with their documents."""
+    doc = live_docs(corpus, snapshot).select(F.struct(*DOC_FIELDS).alias("doc"))
+    found = rows.join(doc, F.col("chunk.doc_id") == F.col("doc.id"))
     if where is not None:
-        rows = rows.where(filters().compile(where))
-    best = rows.select("doc", "chunk", FT.bm25(node, F.col("terms"), stats).alias("bm25")).orderBy("bm25", *_rank()).limit(k)
+        found = found.where(filters().compile(where))
+    return found.select(*rows.columns, "doc").orderBy("bm25", *_rank()).limit(k)
+
+
+def _with_text(best: DataFrame) -> DataFrame:
+    """A full-text search's result, of its best rows with their ``own_text``."""
+    whole = F.col("chunk").withField("text", F.col("own_text")).alias("chunk")
     score = (1.0 / (1.0 + F.greatest(F.col("bm25"), F.lit(0.0)))).cast("float")
-    return best.select(score.alias("score"), score.alias("lexical"), F.lit(None).cast("float").alias("semantic"), "doc", "chunk")
+    return best.select(score.alias("score"), score.alias("lexical"), F.lit(None).cast("float").alias("semantic"), "doc", whole)
 
 
 def _fields(e: Expr) -> set[str]:
@@ -88,22 +115,15 @@ def _from_index(corpus: Corpus, node: FT.Node, k: int, where: Expr | None, snaps
     """``lexical_tree`` over an index: postings of the query's words, narrow columns of the chunks that match, and the text of
     the best ones only."""
     index = corpus.index
-    text = F.col("text") if where is not None and "text" in _fields(where) else F.lit("").alias("text")
-    chunk = index.rows.where(~F.col("deleted")).select("n", F.struct("id", "doc_id", "offset", "tokens", text).alias("chunk"))
-    doc = live_docs(corpus, snapshot).select(F.struct(*DOC_FIELDS).alias("doc"))
-    rows = PT.search(index, node).join(chunk, "n").join(doc, F.col("chunk.doc_id") == F.col("doc.id"))
-    if where is not None:
-        rows = rows.where(filters().compile(where))
-    best = rows.select("n", "doc", "chunk", "bm25").orderBy("bm25", *_rank()).limit(k)
+    chunk = index.rows.where(~F.col("deleted")).select("n", _narrow(where))
+    best = _best(corpus, PT.search(index, node).join(chunk, "n"), k, where, snapshot)
     if k <= PT.LOOKUP_ROWS:
         found = best.collect()
         best = corpus.doc.sparkSession.createDataFrame(found, best.schema)
         texts = PT.lookup(index, [r["n"] for r in found], [F.col("text").alias("own_text")])
     else:
         texts = index.rows.select("n", F.col("text").alias("own_text"))
-    whole = F.col("chunk").withField("text", F.col("own_text")).alias("chunk")
-    score = (1.0 / (1.0 + F.greatest(F.col("bm25"), F.lit(0.0)))).cast("float")
-    return best.join(texts, "n").select(score.alias("score"), score.alias("lexical"), F.lit(None).cast("float").alias("semantic"), "doc", whole)
+    return _with_text(best.join(texts, "n"))
 
 
 def lexical(corpus: Corpus, text: str, k: int, where: Expr | None = None, snapshot: str | None = None, literal: bool = False) -> Lexical:
@@ -137,14 +157,20 @@ def semantic(corpus: Corpus, vector: list[float], k: int, where: Expr | None = N
     """The ``k`` most similar chunks of the nearest candidates that pass the filter, which comes after the neighbours.
 
     The search is exact: one pass that keeps the top of every task. Only ids and vectors take part; the few rows found are
-    joined back. Vectors without length, or of another dimension, are nobody's neighbours. Ties go by path, offset and id.
+    looked up by their ids, before anything is joined to them. Vectors without length, or of another dimension, are nobody's neighbours. Ties go by path, offset and id.
     """
     if k <= 0:
         return _empty(corpus)
     near = candidates(k, where is not None or snapshot is not None, max_limit)
     live = corpus.chunk.where(~F.col("deleted")).select(F.col("id").alias("near_id"), "doc_id", "offset", cosine(F.col("embedding"), vector).alias("similarity")).where(F.col("similarity").isNotNull())
     top = live.orderBy(F.col("similarity").desc(), "doc_id", "offset", "near_id").limit(near).select("near_id", "similarity")
-    rows = joined(corpus, snapshot).join(F.broadcast(top), F.col("chunk.id") == F.col("near_id"))  # at most ``near`` rows
+    chunk, doc = corpus.chunk, corpus.doc
+    if near <= PT.LOOKUP_ROWS:
+        found = live.select("near_id", "doc_id", "similarity", "offset").orderBy(F.col("similarity").desc(), "doc_id", "offset", "near_id").limit(near).collect()
+        top = chunk.sparkSession.createDataFrame([(r["near_id"], r["similarity"]) for r in found], "near_id string, similarity double")
+        chunk, doc = chunk.where(F.col("id").isin([r["near_id"] for r in found])), doc.where(F.col("id").isin([r["doc_id"] for r in found]))
+    rows = chunk.join(F.broadcast(top), F.col("id") == F.col("near_id")).where(~F.col("deleted")).select(F.struct(*CHUNK_FIELDS).alias("chunk"), "similarity")  # at most ``near`` rows
+    rows = rows.join(live_docs(Corpus(doc, chunk), snapshot).select(F.struct(*DOC_FIELDS).alias("doc")), F.col("chunk.doc_id") == F.col("doc.id"))
     if where is not None:
         rows = rows.where(filters().compile(where))
     score = F.col("similarity").cast("float")

@@ -27,7 +27,7 @@ from ..functions import text as X
 from ..functions.vectors import Embedder
 from ..operators import postings as PT
 from ..operators.chunking import chunk_documents
-from ..schema import CHUNK, DOC, SCHEMA_VERSION, Config, Corpus, StoreError
+from ..schema import CHUNK, DENSE, DOC, SCHEMA_VERSION, Config, Corpus, StoreError
 from . import files as FS
 from .folder import Folder
 
@@ -126,7 +126,7 @@ class Store:
         """Write a segment; what the manifest says of it."""
         out = {"number": number, "rows": doc is not None, "chunks": 0, "terms": 0, "dead": 0, "gone": 0}
         if doc is not None:
-            doc.select(*DOC.fieldNames()).write.parquet(self.folder.at(f"s{number}/doc"))
+            doc.select(*DOC.fieldNames()).write.options(**DENSE).parquet(self.folder.at(f"s{number}/doc"))
             out["chunks"], out["terms"] = PT.write(chunk, self.folder.at(f"s{number}/chunk"), number)
         if marks is not None:
             marks.write.parquet(self.folder.at(f"s{number}/marks"))
@@ -197,10 +197,14 @@ class Store:
         with self.lock():
             segments, number = self._next()
             batch = f"s{number}/batch"
-            docs.select(*DOC.fieldNames(), "text", "parser").write.parquet(self.folder.at(batch))
+            docs.select(*DOC.fieldNames(), "text", "parser", F.monotonically_increasing_id().alias("row")).write.options(**DENSE).parquet(self.folder.at(batch))
             found = self.spark.read.parquet(self.folder.at(batch))
-            first = found.groupBy("path").agg(F.max(F.struct("mtime", "id")).alias("one")).select("one.*")
-            found = found.join(first, ["mtime", "id"], "left_semi").dropDuplicates(["path"])
+            paths = found.groupBy("path").agg(F.max(F.struct("mtime", "id", "row")).alias("one"), F.count("*").alias("rows"))
+            if paths.where(F.col("rows") > 1).limit(1).count():  # else no row is moved
+                later = paths.where(F.col("rows") > 1).select(F.col("path").alias("its_path"), F.col("one.row").alias("kept"))
+                out = found.select("path", "row").join(later, (F.col("path") == F.col("its_path")) & (F.col("row") != F.col("kept"))).select("row")
+                found = found.join(out, "row", "left_anti")
+            found = found.drop("row")
             now = self._corpus(segments)
             found_marks = marks(now.doc, found)
             new = self._segment(number, found, chunk_documents(found, config.chunk_tokens, config.overlap, self.embedder, parser="parser"), found_marks)
@@ -228,9 +232,10 @@ class Store:
             segments, number = self._next()
             now = self._corpus(segments)
             named = self.spark.createDataFrame([(t, "/" not in t) for t in dict.fromkeys(targets)], "target string, may_be_id boolean")
-            live = now.doc.where(~F.col("deleted"))
-            hit = (F.col("path") == F.col("target")) | (F.col("may_be_id") & (F.col("id") == F.col("target")))
-            new = self._segment(number, None, None, live.join(F.broadcast(named), hit, "left_semi").select("id", F.lit(False).alias("gone")))  # what a user names
+            live = now.doc.where(~F.col("deleted")).select("id", "path")
+            by_path = live.join(named, F.col("path") == F.col("target"), "left_semi")
+            by_id = live.join(named.where("may_be_id"), F.col("id") == F.col("target"), "left_semi")
+            new = self._segment(number, None, None, by_path.union(by_id).select("id", F.lit(False).alias("gone")).distinct())
             if new["dead"]:
                 self._append(segments, number, new)
             else:

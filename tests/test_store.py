@@ -99,3 +99,41 @@ def test_what_a_lost_writer_left_is_no_part_of_the_store(spark, store):
     assert found(store, "half") == []
     store.upsert(batch(spark, {"p/7": "whole"}), CONFIG)
     assert found(store, "half") == [] and found(store, "whole") == ["whole"]
+
+
+def test_texts_of_a_batch_stay_where_they_are(spark, tmp_path, monkeypatch):
+    plans, cut = [], ST.chunk_documents
+
+    def chunked(docs, *args, **options):
+        plans.append(docs._jdf.queryExecution().executedPlan().toString())
+        return cut(docs, *args, **options)
+
+    monkeypatch.setattr(ST, "chunk_documents", chunked)
+    store = ST.Store.create(spark, tmp_path / "s", HashEmbedder(8))
+    store.upsert(batch(spark, {f"p/{k}": f"word{k}" for k in range(9)}), CONFIG)
+    assert "Exchange" not in plans[0]
+    new, newer = batch(spark, {"p/1": "old"}), batch(spark, {"p/1": "newest", "p/2": "two"}, "2024-01-02T00:00:00Z")
+    store.upsert(new.union(newer).union(newer), CONFIG)
+    assert found(store, "old") == [] and found(store, "newest") == ["newest"] and found(store, "two") == ["two"] and found(store, "word1") == []
+
+
+def test_names_meet_documents_by_equality(spark, tmp_path, monkeypatch):
+    store = ST.Store.create(spark, tmp_path / "s", HashEmbedder(8))
+    store.upsert(batch(spark, {f"p/{k}": f"word{k}" for k in range(9)} | {"plain": "word"}), CONFIG)
+    plans, segment = [], ST.Store._segment
+
+    def kept(self, number, doc, chunk, marks=None):
+        plans.append(marks._jdf.queryExecution().executedPlan().toString())
+        return segment(self, number, doc, chunk, marks)
+
+    monkeypatch.setattr(ST.Store, "_segment", kept)
+    one = store.corpus().doc.where("path = 'p/3'").first()["id"]
+    assert store.remove(["p/1", one, "plain", "p/none", "none", "p/3"]) == 3
+    assert "NestedLoop" not in plans[0] and "Cartesian" not in plans[0]
+
+
+def test_ingestion_bounds_what_workers_hold(spark, tmp_path):
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    store = ST.Store.create(spark, tmp_path / "s", HashEmbedder(8))
+    store.upsert(batch(spark, {"p/1": "one two"}), CONFIG)
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch").rstrip("bB")) <= 16 << 20

@@ -1,5 +1,6 @@
 """Registered queries against their SQL, over the smallest tables."""
 
+import hashlib
 import os
 
 import duckdb
@@ -37,3 +38,13 @@ def test_ingest_scan_walks_the_whole_folder(spark, tmp_path):
         (tmp_path / name).write_text(name)
     rows = entry.queries()["ingest_scan"](spark, str(tmp_path)).collect()
     assert {(r["path"], r["size"]) for r in rows} == {(f"{tmp_path}/{n}", len(n)) for n in ("a.parquet", "deep/b.parquet", "deep/er/c.txt")}
+
+
+def test_ingest_scan_hashes_files_that_no_row_can_hold(spark, tmp_path):
+    with open(tmp_path / "large.parquet", "wb") as file:
+        file.truncate((2 << 30) + 5)  # takes no room
+    want = hashlib.sha256()
+    for _ in range(2048):
+        want.update(bytes(1 << 20))
+    want.update(bytes(5))
+    assert [tuple(r) for r in entry.queries()["ingest_scan"](spark, str(tmp_path)).collect()] == [(f"{tmp_path}/large.parquet", (2 << 30) + 5, want.hexdigest())]
